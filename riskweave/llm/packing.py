@@ -205,7 +205,7 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(RANGES)).cast("int"))
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     per = per.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
-    ranked = salted.join(per, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1).drop("salt", "base")
+    ranked = salted.join(per, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1).select(*parts.columns, "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,8 +2,8 @@
 
 The lexicon (words, and stems that begin words) is learned from a bounded sample of labelled rows. Its trie is
 intersected with the automaton of all strings within some edits; the product's deterministic states are made when a
-text first needs them. A hit weighs by how much oftener its term, at that distance, stands in toxic texts than in
-others; its context window weakens it where it is quoted or reported and strengthens it where someone is addressed.
+text first needs them. A hit weighs by how much oftener its term stands in toxic texts than in others;
+its context window weakens it where it is quoted or reported and strengthens it where someone is addressed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 from riskweave.llm.shared import crc_of_id, slices
 
 WORD = re.compile(r"\w+")
+#: Constant; exact words; misspelled ones; stems (sum, from three on, per 100 words, logarithm, that times the length's).
+FEATURES = 8
 #: Labelled rows of each label that are learned from, at most, and terms of the lexicon.
 TOXIC_ROWS, OTHER_ROWS, TERMS = 1_500, 4_500, 400
 #: Shortest stem; words from which one edit, and two, are allowed.
 STEM, ONE_EDIT, TWO_EDITS = 4, 5, 9
+#: Words of a toxic text that the lexicon should explain.
+ENOUGH = 4
 #: Context window in words, and the factors of hits that are quoted or reported, and of hits near an address.
 WINDOW, QUOTED, ADDRESSED = 5, 0.3, 1.2
 REPORTING = frozenset("said says wrote writes quote quoted quotes called calling term word reported dit écrit mot sagte schrieb wort nannte dijo escribió palabra".split())
@@ -35,11 +40,12 @@ QUOTES = "\"“”«»„"
 
 @dataclass
 class Model:
-    """terms: (text, is a stem); weights: (term, distance) to log odds; bias: log odds of a text without hits."""
+    """terms: (text, is a stem); strength of each, 0 to 1, as it is and misspelled; coefficients of ``features``."""
 
     terms: list[tuple[str, bool]] = field(default_factory=list)
-    weights: dict[tuple[int, int], float] = field(default_factory=dict)
-    bias: float = -2.0
+    strength: list[float] = field(default_factory=list)
+    misspelled: list[float] = field(default_factory=list)
+    coefficients: list[float] = field(default_factory=lambda: [-2.0] + [0.0] * (FEATURES - 1))
 
 
 def allowed(term: str, stem: bool) -> int:
@@ -142,101 +148,143 @@ def context(words: list[str], at: int, text: str, span: tuple[int, int]) -> floa
     return ADDRESSED if not ADDRESS.isdisjoint(near) else 1.0
 
 
-def score(model: Model, matcher: Matcher, text: str | None) -> float:
-    """Probability of the label, by the whole text: each term counts once, in its most abusive context."""
-    odds = model.bias
+def features(model: Model, matcher: Matcher, text: str | None) -> list[float]:
+    """What the odds are a linear function of, by the whole text: hits in their contexts, and how dense they are."""
+    exact = misspelled = stems = 0.0
+    n = 0
     if text:
         lowered = text.lower()
-        spans = None
-        hits = {w: m for w in set(WORD.findall(lowered)) if (m := matcher.match(w))}
+        found = WORD.findall(lowered)
+        n = len(found)
+        hits = {w: m for w in set(found) if (m := matcher.match(w))}
         if hits:
-            spans = [(m.group(), m.span()) for m in WORD.finditer(lowered)]
-            words = [w for w, _ in spans]
-            best: dict[tuple[int, int], float] = {}
-            for at, (w, span) in enumerate(spans):
-                if w in hits:
-                    factor = context(words, at, lowered, span)
-                    for hit in hits[w]:
-                        best[hit] = max(best.get(hit, 0.0), factor)
-            odds += sum(f * model.weights.get(hit, 0.0) for hit, f in best.items())
+            for at, m in enumerate(WORD.finditer(lowered)):
+                if m.group() in hits:
+                    factor = context(found, at, lowered, m.span())
+                    own = hits[m.group()]
+                    whole = [(d, t) for t, d in own if not model.terms[t][1]]
+                    if whole:
+                        d, t = min(whole)
+                        if d == 0:
+                            exact += factor * model.strength[t]
+                        else:
+                            misspelled += factor * max(model.misspelled[t] for d, t in whole)
+                    else:
+                        stems += factor * max(model.strength[t] for t, _ in own)
+    log = math.log1p(stems)
+    return [1.0, min(exact, 4.0), min(misspelled, 4.0), min(stems, 8.0), float(stems >= 2.5), min(10.0, 100 * stems / (n + 20)), log, log * math.log1p(n) / 5]
+
+
+def score(model: Model, matcher: Matcher, text: str | None) -> float:
+    """Probability of the label."""
+    odds = sum(a * b for a, b in zip(model.coefficients, features(model, matcher, text)))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def _different(texts: list[str]) -> list[set[str]]:
-    """Word sets of texts, without further near copies: those that share the smallest hash of a longish word."""
+def _different(texts: list[str]) -> list[tuple[str, set[str]]]:
+    """Texts and their words, without further near copies: those that share the smallest hash of a longish word."""
     out, seen = [], set()
     for t in texts:
         words = set(WORD.findall(t.lower()))
         mark = min((xxhash.xxh64_intdigest(w) for w in words if len(w) > 7), default=None)
         if mark is None or mark not in seen:
             seen.add(mark)
-            out.append(words)
+            out.append((t, words))
     return out
 
 
-def _terms_of(words: set[str]) -> set[str]:
-    """Words, and stems marked by a star."""
-    out = {w for w in words if len(w) >= 3 and not w.isdigit()}
-    for w in list(out):
-        out.update(w[:k] + "*" for k in range(STEM, len(w)))
+def _terms_of(words: set[str], known: set[str] | None = None) -> dict[str, int]:
+    """Words, and stems marked by a star, with the number of a text's different words that they explain (ENOUGH at most)."""
+    out: dict[str, int] = {}
+    for w in words:
+        if len(w) >= 3 and not w.isdigit():
+            for t in (w, *(w[:k] + "*" for k in range(STEM, len(w) + 1))):
+                if known is None or t in known:
+                    out[t] = min(ENOUGH, out.get(t, 0) + 1)
     return out
 
 
 def learn(toxic: list[str], other: list[str], prior: float) -> Model:
-    """Lexicon and weights. Terms are picked greedily by the toxic texts that they newly explain, less thrice the other
-    texts that they touch; further words follow that are frequent in toxic texts and missing elsewhere."""
+    """Lexicon, strengths and coefficients. Terms are picked greedily by the words that they newly explain in toxic
+    texts (up to ENOUGH words of each text), less thrice those that they touch in others; further words follow that are
+    frequent in toxic texts and all but missing elsewhere."""
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     pos, neg = _different(toxic), _different(other)
     if not pos or not neg:
-        return Model(bias=math.log(max(prior, 1e-3) / (1 - min(prior, 1 - 1e-3))))
-    sets = [_terms_of(w) for w in pos]
-    counts = Counter(t for s in sets for t in s)
-    least = max(3, len(pos) // 300)
+        return Model(coefficients=[math.log(prior / (1 - prior))] + [0.0] * (FEATURES - 1))
+    sets = [_terms_of(w) for _, w in pos]
+    counts, against = Counter(), Counter()
+    for x in sets:
+        counts.update(x)
+    least = max(4, len(pos) // 150)
     frequent = {t for t, n in counts.items() if n >= least}
-    against = Counter()
-    for w in neg:
-        against.update(t for t in _terms_of(w) if t in frequent)
+    for _, w in neg:
+        against.update(_terms_of(w, frequent))
     share = len(pos) / len(neg)
     usable = {t for t in frequent if counts[t] > 6 * share * against[t]}
-    where: dict[str, set[int]] = {t: set() for t in usable}
-    for i, s in enumerate(sets):
-        for t in s & usable:
-            where[t].add(i)
+    where: dict[str, list[tuple[int, int]]] = {t: [] for t in usable}
+    for i, x in enumerate(sets):
+        for t, n in x.items():
+            if t in where:
+                where[t].append((i, n))
     chosen: list[str] = []
-    left = set(range(len(pos)))
+    need = [ENOUGH] * len(pos)
     heap = sorted(usable, key=lambda t: (-(counts[t] - 3 * share * against[t]), t))
-    while len(chosen) < TERMS and heap:
-        best, gain = "", float(least) - 0.5
+    while len(chosen) < TERMS:
+        # of equally good terms a word is narrower than a stem, and a longer term than a shorter one
+        best, most = "", (least - 0.5, False, 0)
         for t in heap:
-            if counts[t] - 3 * share * against[t] <= gain:
+            if counts[t] - 3 * share * against[t] < most[0]:
                 break
-            new = len(where[t] & left) - 3 * share * against[t]
-            # of equally good terms the longer one explains the same more narrowly
-            if new > gain or new == gain and best and len(t) > len(best):
-                best, gain = t, new
+            gain = (sum(min(n, need[i]) for i, n in where[t]) - 3 * share * against[t], not t.endswith("*"), len(t))
+            if t.endswith("*"):  # a stem must explain clearly more than its words do
+                gain = (0.85 * gain[0], *gain[1:])
+            if gain > most:
+                best, most = t, gain
         if not best:
             break
         chosen.append(best)
-        left -= where[best]
-    begun = tuple(t[:-1] for t in chosen if t.endswith("*"))
-    sure = [t for t in heap if not t.endswith("*") and t not in chosen and not t.startswith(begun or ("\0",)) and counts[t] >= max(12, least) and counts[t] > 40 * share * against[t]]
-    chosen += sure[: TERMS - len(chosen)]
+        root = best.rstrip("*")
+        # what the choice explains already, and stems of it that explain little more
+        heap = [t for t in heap if t != best and not (best.endswith("*") and t.startswith(root)) and not (t.endswith("*") and (root + "*").startswith(t[:-1]) and counts[t] < 1.5 * counts[best])]
+        for i, n in where[best]:
+            need[i] = max(0, need[i] - n)
+    begun = tuple(t[:-1] for t in chosen if t.endswith("*")) or ("\0",)
+    sure = [t for t in heap if not t.endswith("*") and t not in chosen and counts[t] >= max(12, least) and counts[t] > 40 * share * against[t]]
     # a word that a chosen stem explains needs no entry of its own
-    chosen = [t for t in chosen if t.endswith("*") or not t.startswith(begun or ("\0",))]
+    chosen = [t for t in [*chosen, *sure][:TERMS] if t.endswith("*") or not t.startswith(begun)]
     terms = [(t[:-1], True) if t.endswith("*") else (t, False) for t in chosen]
+    logs = [math.log((counts[t] + 0.5) / (len(pos) + 1)) - math.log((against[t] + 0.5) / (len(neg) + 1)) for t in chosen]
+    strength = [max(0.1, min(1.0, x / max(logs))) for x in logs]
     matcher = Matcher(terms)
-    def hits(words: set[str]) -> set[tuple[int, int]]:
-        return {h for w in words for h in matcher.match(w)}
-    pos_hits, neg_hits = [hits(w) for w in pos], [hits(w) for w in neg]
-    in_pos, in_neg = Counter(h for s in pos_hits for h in s), Counter(h for s in neg_hits for h in s)
-    weights = {}
-    for i, term in enumerate(terms):
-        for d in range(allowed(*term) + 1):
-            # misspellings are rare: as if some had been seen in toxic texts
-            seen = in_pos[i, d] + (0.5 if d == 0 else 0.013 * len(pos))
-            weights[i, d] = max(0.0, math.log(seen / (len(pos) + 1)) - math.log((in_neg[i, d] + 0.5) / (len(neg) + 1)))
-    silent = (sum(not s for s in pos_hits) + 0.5) / (len(pos) + 1), (sum(not s for s in neg_hits) + 0.5) / (len(neg) + 1)
-    prior = min(max(prior, 1e-3), 1 - 1e-3)
-    return Model(terms, weights, math.log(prior / (1 - prior)) + math.log(silent[0] / silent[1]))
+    # a neighbour that stands in other texts anyway is no misspelling
+    near = Counter(h for _, w in neg for h in {t for x in w for t, d in matcher.match(x) if d})
+    model = Model(terms, strength, [s * max(0.0, 1 - near[i] / (1 + 0.002 * len(neg))) for i, s in enumerate(strength)])
+    x = np.array([features(model, matcher, t) for t, _ in [*pos, *neg]])
+    y = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
+    # misspellings are rare among labelled texts: as if some toxic ones had each kind of hit alone
+    extra = np.zeros((2, FEATURES))
+    extra[:, 0] = 1
+    extra[0, 1] = extra[1, 2] = 1
+    times = max(5, len(pos) // 20)
+    x, y = np.concatenate([x, np.repeat(extra, times, axis=0)]), np.concatenate([y, np.ones(2 * times)])
+    coefficients = logistic(x, y)
+    coefficients[0] += math.log(prior / (1 - prior)) - math.log(len(pos) / len(neg))
+    return Model(terms, model.strength, model.misspelled, coefficients.tolist())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; the first column is the constant."""
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w -= np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
