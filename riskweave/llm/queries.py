@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import langid, licenses, mixing, packing, quality, simhash, suffixdedup, topk, toxicity
+from riskweave.llm import htmlextract, langid, licenses, mixing, packing, quality, simhash, suffixdedup, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_suffix_dedup": suffixdedup.op7_suffix_dedup,
     "op8_top_k": topk.op8_top_k,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_main_text": htmlextract.op10_main_text,
 }
 
 #: The others' hashes, token ids, automata and byte windows aren't expressible in SQL: tests hold them to brute force.
