@@ -113,6 +113,13 @@ def select(rows: DataFrame, chosen: DataFrame, seed: int = SEED) -> DataFrame:
     return joined.where(n > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("whole", "cut_hash", "cut_id")
 
 
+def taken(docs: DataFrame, chosen: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with their own columns alone, once per epoch that takes them."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("id"), domain_of(F.col("source")).alias("domain"), empty("lang").alias("lang"), empty("source").alias("source"))
+    return select(rows, chosen, seed).select("__row.*")
+
+
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, domain, lang, source, tokens, epoch: a row for each time a document is taken.
 

@@ -102,6 +102,89 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, id_col: s
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def _features(text: str | None) -> np.ndarray:
+    """XXH64 of every different word: a changed word changes one feature, so close texts stay close in few bits."""
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words_of(text))], np.uint64)
+
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(id, fp by ``size``-word shingles, words: fp by different words) of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = b.column(1).to_pylist()
+            a, w = ([majority(f(x)) for x in texts] for f in (lambda x: shingle_hashes(words_of(x), size), _features))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.int64()), pa.array(w, pa.int64())], ["id", "fp", "words"])
+
+    return docs.mapInArrow(run, "id long, fp long, words long")
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, set of shingle hashes) of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(words_of(x), size)).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+
+    return docs.mapInArrow(run, "id long, grams array<long>")
+
+
+def balls_join(fps: DataFrame, distance: int, segments: int, radius: int) -> DataFrame:
+    """As ``links`` with a ball of a chosen radius: pairs within ``distance`` bits of which some segment differs in at
+    most ``radius``. Segments are equal but for the last, which has the bits that are left."""
+    ends = [BITS * (i + 1) // segments for i in range(segments)]
+    starts = [0, *ends[:-1]]
+    own = fps.select("fp", F.explode(F.array(*(
+        F.struct(F.lit(i).cast("int").alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << (e - s)) - 1).cast("long")).alias("key"), F.array(*(F.lit(m).cast("long") for m in balls(e - s, radius))).alias("masks"))
+        for i, (s, e) in enumerate(zip(starts, ends))))).alias("p"))
+    table = own.select(F.col("p.seg").alias("seg"), F.col("p.key").alias("key"), F.col("fp").alias("b"))
+    probes = own.select(F.col("p.seg").alias("seg"), F.col("fp").alias("a"), F.explode(F.transform("p.masks", lambda m: m.bitwiseXOR(F.col("p.key")))).alias("key"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return probes.join(table, (probes.seg == table.seg) & (probes.key == table.key) & near).select("a", "b")
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): classes of texts that are alike, in two steps.
+
+    First as ``near_duplicates``: fingerprints of ``size``-word shingles within ``distance`` bits. One text stands for
+    each class. Of those, pairs whose fingerprints by different words differ in at most 1 - ``similarity`` of the bits
+    (and in at most one bit of a third of them) are compared whole, and linked if the Jaccard similarity of their
+    shingle sets is ``similarity`` at least. Links between other texts of two classes aren't sought. Null ids have no
+    class; rows with one id are one text.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    sketches = stage(_sketches(plain, size), "similar")
+    nodes = stage(sketches.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("words", "id").alias("words")), "similar-nodes")
+    first = stage(links(nodes.select("fp"), distance), "similar-first")
+    by_fp = connected(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    grouped = nodes.join(by_fp, nodes.fp == by_fp.id, "left").select("fp", "node", "words", F.coalesce("component", "fp").alias("group"))
+    classes = stage(grouped.groupBy("group").agg(F.min("node").alias("node"), F.min_by("words", "node").alias("words")), "similar-classes")
+    # texts with the same different words are one in the table; their least ids stand in a row, linked by verification too
+    words = stage(classes.groupBy("words").agg(F.min("node").alias("node")), "similar-words")
+    near = balls_join(words.select(F.col("words").alias("fp")), int(BITS * (1 - similarity)), 3, 1).distinct()
+    a, b = (words.select(F.col("words").alias(x), F.col("node").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    same = classes.join(words.select("words", F.col("node").alias("least")), "words").where("node <> least").select(F.col("least").alias("left"), F.col("node").alias("right"))
+    pairs = stage(near.join(a, "a").join(b, "b").select("left", "right").unionByName(same), "similar-pairs")
+    asked = pairs.select(F.col("left").alias("id")).unionByName(pairs.select(F.col("right").alias("id"))).distinct()
+    grams = stage(_shingle_sets(plain.join(asked, "id", "left_semi").select("id", "text"), size).dropDuplicates(["id"]), "similar-grams")
+    l, r = (grams.select(F.col("id").alias(x), F.col("grams").alias(y)) for x, y in (("left", "l"), ("right", "r")))
+    common = F.size(F.array_intersect("l", "r"))
+    alike = pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common)).where((F.size("l") > 0) | (F.size("r") > 0))
+    second = connected(alike.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+    final = classes.join(second, classes.node == second.id, "left").select("group", F.coalesce("component", "node").alias("component"))
+    labels = grouped.select("fp", "group").join(final, "group").select("fp", "component")
+    return sketches.join(labels, "fp").select("id", "component")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their class (smallest id; of rows with that
+    id all stay); rows without an id stay."""
+    classes = similar(docs, size, similarity, id_col=id_col, text_col=text_col)
+    others = stage(classes.where("id <> component").select(F.col("id").alias("__id")).distinct(), "similar-others")
+    return docs.join(others, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract of op2: doc_id, fingerprint (16 hex digits), component_id, by 3-word shingles and 3 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -270,7 +270,7 @@ def _removal(window: int, bits: int, below: int, wide: bool, with_text: bool):
                     starts, ends = np.nonzero(edges == 1)[0].tolist(), np.nonzero(edges == -1)[0].tolist()
                     kept = kept[~removed[s:e]]
                     kept_sha = hashlib.sha256(kept.tobytes()).hexdigest()
-                rows.append((sha, doc, e - s, n, len(starts), kept_sha, starts, ends, kept.tobytes() if with_text and n else None))
+                rows.append((sha, doc, e - s, n, len(starts), kept_sha, starts, ends, kept.tobytes().decode("utf-8", "ignore").encode() if with_text and n else None))
         columns = list(zip(*rows)) if rows else [[] for _ in range(9)]
         types = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in RESULT.split(", ")])
@@ -332,7 +332,8 @@ def _clean_shuffles(spark: SparkSession):
 
 def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(ids, results): ids has (id, sha, n_bytes) per row; results has per different text its first id, what is removed
-    there (span_starts, span_ends: byte offsets) and, if wanted, the bytes kept where any are removed. Both are staged.
+    there (span_starts, span_ends: byte offsets) and, if wanted, the text kept where any byte is removed (characters cut
+    apart go whole). Both are staged.
 
     Nulls in the text count as empty; null ids count as last; rows with the same id and text are one document; of rows
     with the same id and different texts, either may come first. An empty table gives empty results.
@@ -371,6 +372,24 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_
             drop_path(spark, path)
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, their texts without repeated windows; n_chars, if there, is counted
+    anew. Rows of which no word is left go; those that had none from the start stay."""
+    _, results = removals(docs, window, True, id_col, text_col)
+    r = results.where("kept is not null").select(F.col("sha").alias("__sha"), F.col("id").alias("__first"), F.col("kept").cast("string").alias("__kept"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    last = F.lit((1 << 63) - 1)
+    copies = results.where(F.col("n_bytes") >= window).select(F.col("sha").alias("__sha"), F.col("id").alias("__owner"))
+    joined = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(copies, "__sha", "left").join(r, "__sha", "left")
+    copy = F.col("__owner").isNotNull() & (F.coalesce(F.col(id_col).cast("long"), last) != F.col("__owner"))
+    new = F.when(copy, F.lit("")).when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))
+    changed = copy | F.col("__kept").isNotNull()
+    out = joined.withColumn("__new", new).where(~changed | F.col("__new").rlike(r"[^\x20\x09-\x0D]")).withColumn(text_col, F.col("__new"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract of op7: a text's first copy has what its windows lose, all others lose every window."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -380,7 +399,7 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     copy = F.col("id") != F.col("first")
     whole = F.col("n_bytes") >= WINDOW
     return joined.select(
-        F.col("id").alias("doc_id"),
+        F.nullif(F.col("id"), F.lit((1 << 63) - 1)).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.when(whole, F.col("n_bytes")).otherwise(0)).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.when(whole, 1).otherwise(0)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),

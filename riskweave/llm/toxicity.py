@@ -316,6 +316,21 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    place = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.terms)
+        for b in slices(batches, names[place]):
+            keep = [score(model, matcher, x) < threshold for x in b.column(place).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Contract of op6 over the whole ``documents``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
