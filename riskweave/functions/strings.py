@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _match_counts(a: str, b: str) -> tuple[int, int]:
@@ -40,7 +41,7 @@ def winkler(a: str | None, b: str | None, weight: float = 0.1) -> float:
     return round(j + prefix * weight * (1 - j), 4)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         known: dict[tuple, float] = {}

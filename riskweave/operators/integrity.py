@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 GENESIS = "0" * 64
 
@@ -55,7 +56,7 @@ def canonical_json(df: DataFrame, columns: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _hmac(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for key, message in parts:
         yield pd.Series([hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in zip(key, message)])
