@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import canonical, decision, graphs, integrity, linkage, links, ml, patterns, profile, regulatory, relational, text
 from riskweave.plans.oracles import ORACLE_SQL
+from riskweave.sources import tables
 from riskweave.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,30 @@ def _merkle(t: DataFrame) -> DataFrame:
     return integrity.merkle_roots(canonical.cases(t), "card", "txn_id", "case_id")
 
 
+def _bridges(t: DataFrame) -> DataFrame:
+    e = graphs.edges(t, HUB_CAP)
+    return graphs.bridges(e, graphs.ego_net(e, e.where(F.col("src").isin("c1", "c2", "c3")).select(F.col("src").alias("id")).distinct()))
+
+
+def _hybrid(t: DataFrame) -> DataFrame:
+    """Cases of a card's customer (structure) and on its merchants' regions with large exposure (score)."""
+    c = canonical.cases(t).withColumn("age_days", (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.col("opened_us")) / canonical.DAY)
+    cards = t.select(F.col("card").alias("query_id"), "customer").distinct()
+    return text.hybrid(cards.join(c, "customer").select("query_id", "case_id", "age_days"), c.where("exposure >= 20").select(F.col("card").alias("query_id"), "case_id", (F.col("exposure") / 25).alias("score"), "age_days"))
+
+
+def _resolved(t: DataFrame) -> DataFrame:
+    """Cards by four fallbacks, a tenth of the transactions known."""
+    rows = t.select("txn_id", F.col("customer").alias("customer_id"), "region", "mcc", "channel", "card")
+    known = rows.where("txn_id % 10 = 0 and customer_id < 40").select("txn_id", F.concat(F.lit("K"), F.col("card").cast("string")).alias("card_id"))
+    return canonical.resolve_cards(rows.drop("card"), known, ["region", "mcc", "channel", "customer_id"]).select("txn_id", "card_id")
+
+
+def _refined(a: DataFrame) -> DataFrame:
+    plan = decision.next_actions(a).select("txn_id", "action")
+    return decision.refine(a.withColumn("amount", F.col("amount") * 100).join(plan, "txn_id")).select("txn_id", "verdict", "action")
+
+
 def _backoff(t: DataFrame) -> DataFrame:
     wait, state = integrity.backoff(F.col("txn_id") % 8 + 1)
     return t.select("txn_id", wait.alias("wait"), state.alias("state"))
@@ -142,6 +167,13 @@ QUERIES: dict[str, Query] = {
     "cross_case_links": _on(links.cross_case_links),
     "shared_infrastructure": _on(links.shared_infrastructure),
     "circle_layout": _on(lambda t: links.circle_layout(t.select(F.col("customer").alias("id")).distinct())),
+    "cycle_rank": _on(graphs.cycle_rank, HUB_CAP),
+    "bridges": _on(_bridges),
+    "case_documents": _on(lambda t: graphs.case_documents(links.case_subgraph(t))),
+    "hybrid_retrieval": _on(_hybrid),
+    "card_resolution": _on(_resolved),
+    "refine_actions": _assessed(_refined),
+    "webhook_rows": _on(lambda t: tables.webhook_rows(monitor.high_risk_mcc(t, 100.0).join(t.select("txn_id", "us"), "txn_id"), "secret")),
     "topology_diff": _on(graphs.topology_diff, BEFORE, AS_OF, HUB_CAP),
     "triplets": _on(graphs.triplets),
     "triplets_cypher": _on(lambda t: graphs.serialise(graphs.triplets(t).where("predicate = 'INVESTIGATES_CARD'"), "cypher")),

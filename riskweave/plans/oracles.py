@@ -102,6 +102,13 @@ sc AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.2::DOUBLE / (tf + 1.
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 5)"""
 
 
+def _components(rounds: int) -> str:
+    out = ["k0 AS (SELECT DISTINCT src AS id, src AS component FROM e)"]
+    for i in range(1, rounds + 1):
+        out.append(f"k{i} AS (SELECT id, least(any_value(k.component), min(n.component)) AS component FROM k{i - 1} k JOIN e ON e.src = k.id JOIN (SELECT id AS nid, component FROM k{i - 1}) n ON n.nid = e.dst GROUP BY id)")
+    return ",\n".join(out)
+
+
 AS_OF = "TIMESTAMP '2024-01-20'"
 AT = f"epoch_us({AS_OF})"
 WEIGHT = f"round(CASE WHEN us > {AT} THEN 0 ELSE least(1, (CASE WHEN is_fraud THEN 4.0::DOUBLE WHEN risk >= 0.7 THEN 2.0 WHEN risk >= 0.4 THEN 1.5 ELSE 1 END) * pow(2.0, -(({AT} - us) / {D}::DOUBLE) / 30.0::DOUBLE)) END, 6)"
@@ -156,6 +163,11 @@ ORACLE_SQL: dict[str, str] = {
     "cross_case_links": q(CASES, "SELECT a.case_id AS a_case, b.case_id AS b_case, a.device FROM c a JOIN c b ON a.device = b.device AND a.case_id < b.case_id AND a.card <> b.card WHERE a.outcome = 'confirmed_fraud' AND b.outcome = 'confirmed_fraud'"),
     "shared_infrastructure": q("x AS (SELECT DISTINCT customer, device FROM t)", "y AS (SELECT DISTINCT customer, merchant FROM t)", "SELECT a, b, sum(w)::DOUBLE AS weight FROM (SELECT l.customer AS a, r.customer AS b, 2.0 * count(*) AS w FROM x l JOIN x r ON l.device = r.device AND l.customer < r.customer GROUP BY ALL UNION ALL SELECT l.customer, r.customer, 1.0 * count(*) FROM y l JOIN y r ON l.merchant = r.merchant AND l.customer < r.customer GROUP BY ALL) GROUP BY a, b"),
     "circle_layout": q("n AS (SELECT DISTINCT customer AS id FROM t)", "SELECT id, round(100 * cos(2 * pi() * (row_number() OVER (ORDER BY id) - 1) / (SELECT count(*) FROM n)), 6) AS x, round(100 * sin(2 * pi() * (row_number() OVER (ORDER BY id) - 1) / (SELECT count(*) FROM n)), 6) AS y FROM n"),
+    "cycle_rank": q(EDGES, _components(6), "n AS (SELECT component, count(*) AS n_nodes FROM k6 GROUP BY component)", "m AS (SELECT component, (count(*) // 2)::BIGINT AS n_edges FROM e JOIN k6 ON src = id GROUP BY component)", "SELECT component, n_nodes, n_edges, n_edges - n_nodes + 1 AS cycles FROM n JOIN m USING (component)"),
+    "hybrid_retrieval": q(CASES, f"cx AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-01') - opened_us) / {D}::DOUBLE AS age FROM c)", "s AS (SELECT x.card AS query_id, case_id, age FROM (SELECT DISTINCT card, customer FROM t) x JOIN cx USING (customer))", "l AS (SELECT card AS query_id, case_id, age, greatest(0.4::DOUBLE, least(0.9::DOUBLE, CASE WHEN exposure / 25 > 1 THEN exposure / 25 / 10 ELSE exposure / 25 END)) AS b FROM cx WHERE exposure >= 20)", "SELECT query_id, case_id, round(greatest(CASE WHEN s.age IS NULL THEN 0 ELSE 0.75 END, coalesce(b, 0)) * CASE WHEN s.age IS NOT NULL AND b IS NOT NULL THEN 1.25 ELSE 1 END * (0.2::DOUBLE + 0.8::DOUBLE * pow(2.0, -coalesce(s.age, l.age) / 30.0::DOUBLE)), 6)::DOUBLE AS score FROM s FULL JOIN l USING (query_id, case_id)"),
+    "card_resolution": q("x AS (SELECT txn_id, customer, region, mcc, channel, CASE WHEN txn_id % 10 = 0 AND customer < 40 THEN 'K' || card END AS k FROM t)", "s1 AS (SELECT region, mcc, channel, customer, arg_min(k, txn_id) AS k FROM x WHERE k IS NOT NULL GROUP BY ALL)", "s2 AS (SELECT region, arg_min(k, txn_id) AS k FROM x WHERE k IS NOT NULL GROUP BY region)", "s3 AS (SELECT customer, arg_min(k, txn_id) AS k FROM x WHERE k IS NOT NULL GROUP BY customer)", "SELECT txn_id, coalesce(x.k, s1.k, s2.k, s3.k, x.customer || '-K1') AS card_id FROM x LEFT JOIN s1 USING (region, mcc, channel, customer) LEFT JOIN s2 USING (region) LEFT JOIN s3 USING (customer)"),
+    "refine_actions": q(ASSESS, "SELECT txn_id, verdict, CASE WHEN verdict = 'FRAUD' THEN CASE WHEN amount * 100 > 2500 THEN 'ESCALATE' WHEN amount > 100 THEN 'BLOCK_CARD' ELSE 'STEP_UP_AUTH' END WHEN verdict = 'UNCERTAIN' THEN 'CONTACT_CUSTOMER' ELSE 'CLOSE' END AS action FROM a"),
+    "case_documents": q(CASES, "rt AS (SELECT card, txn_id AS x FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY us DESC, txn_id DESC) AS r FROM t) WHERE r <= 5)", "pe AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS r FROM (SELECT c.case_id, c.device, x.card AS peer FROM c JOIN (SELECT DISTINCT card, device FROM t) x ON c.device = x.device AND x.card <> c.card))", "ed AS (SELECT case_id, case_id || ' INVESTIGATES ' || card AS line FROM c UNION ALL SELECT case_id, customer || ' OWNS ' || card FROM c UNION ALL SELECT case_id, card || ' USED ' || device FROM c UNION ALL SELECT case_id, card || ' MADE ' || x FROM c JOIN rt USING (card) UNION ALL SELECT case_id, peer || ' SHARES ' || device FROM pe WHERE r <= 2)", "SELECT case_id, count(*) AS n, string_agg(line, ';' ORDER BY line) AS edges FROM ed GROUP BY case_id"),
     "topology_diff": q("o AS (SELECT DISTINCT card, device FROM t WHERE ts <= TIMESTAMP '2024-01-10')", "o2 AS (SELECT * FROM o WHERE device NOT IN (SELECT device FROM o GROUP BY device HAVING count(*) > 60))", "n AS (SELECT DISTINCT card, device FROM t WHERE ts <= TIMESTAMP '2024-01-20')", "n2 AS (SELECT * FROM n WHERE device NOT IN (SELECT device FROM n GROUP BY device HAVING count(*) > 60))", "ch AS (SELECT card, 1 AS a, 0 AS g FROM (SELECT * FROM n2 EXCEPT SELECT * FROM o2) UNION ALL SELECT card, 0, 1 FROM (SELECT * FROM o2 EXCEPT SELECT * FROM n2))", "cg AS (SELECT card, sum(a)::BIGINT AS added, sum(g)::BIGINT AS removed FROM ch GROUP BY card)", "x AS (SELECT card, added, removed, (SELECT count(*) FROM o2 WHERE o2.card = cg.card) AS d1, (SELECT count(*) FROM n2 WHERE n2.card = cg.card) AS d2 FROM cg)", "SELECT *, CASE WHEN d1 < 3 AND d2 >= 3 THEN 'STAR_FORMED' WHEN added >= 5 THEN 'EXPLOSION' ELSE 'STABLE' END AS shift FROM x"),
     "triplets": q(CASES, "rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY us DESC, txn_id DESC) AS r FROM t) WHERE r <= 30)", "SELECT card::VARCHAR AS subject, 'HAS_TRANSACTION' AS predicate, txn_id::VARCHAR AS object FROM rt UNION SELECT txn_id::VARCHAR, 'TRANS_AT', region::VARCHAR FROM rt UNION SELECT txn_id::VARCHAR, 'USED_DEVICE', device FROM rt UNION SELECT customer::VARCHAR, 'OWNS_CARD', card::VARCHAR FROM t UNION SELECT case_id, 'INVESTIGATES_CARD', card::VARCHAR FROM c UNION SELECT case_id, 'FLAGGED_TRANSACTION', txn_id::VARCHAR FROM c"),
     "triplets_cypher": q(CASES, "SELECT DISTINCT 'MERGE (a:Entity {id: \"' || case_id || '\"}) MERGE (b:Entity {id: \"' || card || '\"}) MERGE (a)-[:INVESTIGATES_CARD]->(b)' AS statement FROM c"),

@@ -98,6 +98,12 @@ def test_ego_net_of_a_path(spark):
     assert got == {"a": 0, "b": 1, "c": 2}
 
 
+def test_bridges_of_a_path_a_cycle_and_both():
+    assert sorted(graphs._bridges({("a", "b"), ("b", "c"), ("c", "d")})) == [("a", "b"), ("b", "c"), ("c", "d")]
+    assert graphs._bridges({("a", "b"), ("b", "c"), ("a", "c")}) == []
+    assert graphs._bridges({("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")}) == [("c", "d")]
+
+
 def test_jaro_winkler():
     assert winkler("martha", "marhta") == 0.9611 and winkler("", None) == 1.0 and winkler("a", "") == 0.0 and winkler("abc", "xyz") == 0.0
     assert jaro("dixon", "dicksonx") == pytest.approx(0.7667, abs=1e-4)
