@@ -143,6 +143,12 @@ def apply_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.select("case_id", "antecedent", (F.col("confidence") >= 0.85).alias("strong"))
 
 
+def rule_chunks(rules: DataFrame) -> DataFrame:
+    """Rules as texts for retrieval (O-49)."""
+    pct = F.round(F.col("confidence") * 100, 0).cast("long").cast("string")
+    return rules.select(F.concat(F.lit("rule-"), F.substring(F.md5(F.col("antecedent").cast("binary")), 1, 8)).alias("chunk_id"), F.concat(F.lit("If "), F.replace("antecedent", F.lit("+"), F.lit(" and ")), F.lit(" then confirmed fraud with confidence "), pct, F.lit(" %, support "), F.col("support").cast("string"), F.lit(".")).alias("text"))
+
+
 def memory_prior(txn: DataFrame) -> DataFrame:
     """Beta-binomial prior per case from earlier cases of its customer and device; the risk that it adds (O-50)."""
     c = cases(txn)

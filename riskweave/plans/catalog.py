@@ -215,6 +215,12 @@ QUERIES: dict[str, Query] = {
     "backoff": _on(_backoff),
     "tasks_once": _on(lambda t: integrity.once(t, ["card", "merchant"]).select("key", "txn_id")),
     "link_parts": _table("part", linkage.link_parts),
+    "device_nexus": _on(linkage.device_nexus),
+    "cardholder_sybils": _on(linkage.cardholder_sybils),
+    "task_risk": _on(monitor.task_risk),
+    "amount_histogram": _on(monitor.histogram, "amount", [1.0, 10.0, 50.0, 100.0]),
+    "case_briefs": _facts(lambda f: f.select("case_id", text.brief([F.concat(F.lit("Case "), "case_id"), F.concat(F.lit("Outcome: "), "outcome"), F.concat(F.lit("Transactions: "), F.col("n_txns").cast("string"))], 40).alias("brief"))),
+    "rule_chunks": _facts(lambda f: regulatory.rule_chunks(regulatory.mine_rules(f))),
     "velocity_spike": _on(monitor.velocity_spike, total=300.0, critical=600.0),
     "novel_device_link": _on(monitor.novel_device_link),
     "impossible_travel": _on(lambda t: monitor.impossible_travel(monitor.located(t))),

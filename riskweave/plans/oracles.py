@@ -119,6 +119,7 @@ ch AS (SELECT card, count(*) AS n, min(us) AS begin_us, max(us) AS end_us, round
 FAN = """fo AS (SELECT card, count(DISTINCT merchant) AS n_merchants, round(sum(amount), 2) AS total FROM t GROUP BY card HAVING count(DISTINCT merchant) >= 4),
 fi AS (SELECT merchant, count(DISTINCT card) AS n_cards, round(sum(amount), 2) AS total FROM t GROUP BY merchant HAVING count(DISTINCT card) >= 3)"""
 LINKS = "li AS (SELECT a.card AS seed, b.card AS other, count(*) AS n_devices FROM d a JOIN d b ON a.device = b.device AND a.card <> b.card GROUP BY a.card, b.card)"
+NEXUS = "dn AS (SELECT device, count(DISTINCT card) AS n FROM t GROUP BY device), nx AS (SELECT * FROM (SELECT a.device AS device_a, b.device AS device_b, round(jaro_winkler_similarity(a.device, b.device), 4) AS similarity, a.n + b.n AS n_cards FROM dn a JOIN dn b ON split_part(a.device, '|', 1) = split_part(b.device, '|', 1) AND a.device < b.device) WHERE similarity >= 0.97)"
 SPIKE = "sp AS (SELECT * FROM (SELECT txn_id, card, count(*) OVER w AS n, round(sum(amount) OVER w, 4) AS total FROM t WINDOW w AS (PARTITION BY card ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)) WHERE n >= 3 OR total >= 300)"
 NOVEL = "nv AS (SELECT txn_id, device, card, n_before FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY us, txn_id) - 1 AS n_before FROM (SELECT device, card, min(us) AS us, arg_min(txn_id, (us, txn_id)) AS txn_id FROM t GROUP BY device, card)) WHERE n_before > 0)"
 LOCATED = "lo AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b, lag(us) OVER w AS pu FROM (SELECT *, (region * 7 - 30)::DOUBLE AS lat, (region * 13 - 60)::DOUBLE AS lon FROM t) WINDOW w AS (PARTITION BY card ORDER BY us, txn_id))"
@@ -209,6 +210,12 @@ x AS (SELECT a.k AS p_partkey_a, b.k AS p_partkey_b, round(CASE WHEN lower(trim(
 y AS (SELECT *, CASE WHEN s >= 0.9 THEN 1 WHEN s < 0.75 THEN 0 ELSE (s - 0.75::DOUBLE) / (0.9::DOUBLE - 0.75::DOUBLE) END AS g FROM x),
 z AS (SELECT *, round(g * log2(0.95::DOUBLE / 0.05::DOUBLE) + (1 - g) * log2(0.05::DOUBLE / 0.95::DOUBLE) + log2(0.9::DOUBLE / 0.1::DOUBLE) + log2(0.85::DOUBLE / 0.08::DOUBLE), 6) AS weight FROM y)
 SELECT p_partkey_a, p_partkey_b, weight, round(1 / (1 + pow(2.0, -weight)), 6) AS posterior, CASE WHEN 1 / (1 + pow(2.0, -weight)) >= 0.85 THEN 'MATCH' WHEN 1 / (1 + pow(2.0, -weight)) >= 0.65 THEN 'POSSIBLE' ELSE 'DISTINCT' END AS decision FROM z""",
+    "device_nexus": q(NEXUS, "SELECT * FROM nx"),
+    "cardholder_sybils": q(NEXUS, "bo AS (SELECT device_a AS device, device_b AS lk FROM nx UNION ALL SELECT device_b, device_a FROM nx)", "us AS (SELECT DISTINCT card, device FROM t)", "SELECT u.card, count(DISTINCT lk) AS n_links, count(DISTINCT o.card) AS n_cards, round(least(1.0::DOUBLE, 0.35::DOUBLE * count(DISTINCT lk) + 0.2::DOUBLE * count(DISTINCT o.card)), 4)::DOUBLE AS risk FROM us u JOIN bo USING (device) JOIN us o ON o.device = lk AND o.card <> u.card GROUP BY u.card"),
+    "task_risk": q("SELECT txn_id, (CASE WHEN amount >= 200 THEN 0.9 WHEN amount >= 100 THEN 0.6 WHEN amount >= 50 THEN 0.3 ELSE 0.1 END)::DOUBLE AS risk FROM t"),
+    "amount_histogram": q("SELECT bound, (SELECT count(*) FROM t WHERE amount <= bound) AS n FROM (VALUES (1.0::DOUBLE), (10.0), (50.0), (100.0), ('inf'::DOUBLE)) b(bound)"),
+    "case_briefs": q(FACTS, "SELECT case_id, left('Case ' || case_id || chr(10) || 'Outcome: ' || outcome || chr(10) || 'Transactions: ' || n_txns, 40) AS brief FROM f"),
+    "rule_chunks": q(PREDICATES, "SELECT 'rule-' || substr(md5(antecedent), 1, 8) AS chunk_id, 'If ' || replace(antecedent, '+', ' and ') || ' then confirmed fraud with confidence ' || round(confidence * 100, 0)::BIGINT || ' %, support ' || support || '.' AS text FROM rules"),
     "velocity_spike": q(SPIKE, "SELECT *, CASE WHEN total >= 600 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM sp"),
     "novel_device_link": q(NOVEL, "SELECT txn_id, device, card, n_before::INTEGER AS n_before FROM nv"),
     "impossible_travel": q(LOCATED, "x AS (SELECT txn_id, card, 2 * 6371.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - b) / 2), 2)))) AS km, greatest(0.001::DOUBLE, (us - pu) / 3.6e9::DOUBLE) AS h FROM lo WHERE pu IS NOT NULL)", "SELECT * FROM (SELECT txn_id, card, round(km, 3) AS km, round(km / h, 3) AS speed FROM x) WHERE speed > 800 AND km > 100"),

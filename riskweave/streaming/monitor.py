@@ -62,6 +62,19 @@ def alert_stats(txn: DataFrame, total: float = 300.0) -> DataFrame:
     return v.unionByName(d).unionByName(m).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
+def task_risk(txn: DataFrame) -> DataFrame:
+    """Risk of a queued task by a ladder of amounts (T-7)."""
+    a = F.col("amount")
+    return txn.select("txn_id", F.when(a >= 200, 0.9).when(a >= 100, 0.6).when(a >= 50, 0.3).otherwise(0.1).cast("double").alias("risk"))
+
+
+def histogram(df: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """Cumulative buckets, count and sum of a measure (T-8)."""
+    g = df.agg(*(F.count_if(F.col(column) <= b).alias(f"b{i}") for i, b in enumerate(bounds)), F.count(column).alias("n"))
+    rows = F.array(*(F.struct(F.lit(float(b)).alias("bound"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)), F.struct(F.lit(float("inf")).alias("bound"), F.col("n").alias("n")))
+    return g.select(F.explode(rows).alias("r")).select(F.col("r.bound").alias("bound"), F.col("r.n").alias("n"))
+
+
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder of event files as a stream of transactions with a watermark on ``ts`` (S9)."""
     from riskweave.operators.canonical import normalise
