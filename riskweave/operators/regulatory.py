@@ -9,8 +9,28 @@ from riskweave.operators.canonical import HOUR, as_of, cases, timed
 
 #: Reporting thresholds by jurisdiction: reporting limit, and the band below it (fixed values).
 THRESHOLDS = {"US": (10_000.0, 8_000.0, 9_999.99), "UK": (3_000.0, 2_400.0, 2_999.99), "EU": (2_500.0, 1_800.0, 2_499.99)}
-#: Merchant categories with risk multiplier, due-diligence and report thresholds.
-MCC_RULES = [(6051, 1.5, 1000.0, 3000.0), (7995, 1.4, 1500.0, 4000.0), (4829, 1.6, 1000.0, 2500.0), (6011, 1.2, 2000.0, 5000.0), (5933, 1.3, 1500.0, 4000.0)]
+#: High-risk merchant categories: code, risk multiplier, due-diligence and report thresholds, action (fixed values).
+MCC_RULES = [
+    (6051, 2.0, 1000.0, 2000.0, "RESTRICT_QUASI_CASH"),
+    (4829, 2.0, 1500.0, 2500.0, "RESTRICT_OUTBOUND_WIRES"),
+    (7995, 2.5, 2000.0, 3000.0, "STEP_UP_AUTH"),
+    (5944, 1.75, 2500.0, 5000.0, "ENHANCED_DUE_DILIGENCE"),
+    (6211, 1.5, 3000.0, 5000.0, "STEP_UP_AUTH"),
+]
+#: Category of a product code where no merchant category is given (fixed values).
+PRODUCT_MCC = {"C": 6051, "W": 4829}
+#: Countries by risk, and those at home (fixed values).
+FATF_HIGH = ("IR", "KP", "MM", "SY", "YE", "RU", "999", "OFFSHORE", "HAVEN")
+FATF_GREY = ("AE", "PA", "KY", "VG", "BS", "CY", "MT", "888")
+DOMESTIC = ("87", "87.0", "US", "USA")
+
+
+def category(mcc: Column, product: Column) -> Column:
+    """The merchant category, or else the product code's."""
+    out = F.lit(None).cast("int")
+    for code, value in PRODUCT_MCC.items():
+        out = F.when(product == code, value).otherwise(out)
+    return F.coalesce(mcc, out)
 
 
 def structuring(txn: DataFrame, scale: float = 1.0, hours: int = 24, jurisdiction: str = "US", key: str = "customer") -> DataFrame:
@@ -30,12 +50,13 @@ def structuring(txn: DataFrame, scale: float = 1.0, hours: int = 24, jurisdictio
     return g.select(key, "n", "total", "n_cards", listed.alias("indicators"), suspicious.alias("is_structuring"))
 
 
-def cross_border(txn: DataFrame, hours: int = 48, home: int = 0, high: tuple[int, ...] = (3, 7), grey: tuple[int, ...] = (5,), scale: float = 1.0) -> DataFrame:
+def cross_border(txn: DataFrame, hours: int = 48, home: tuple[str, ...] = DOMESTIC, high: tuple[str, ...] = FATF_HIGH, grey: tuple[str, ...] = FATF_GREY, scale: float = 1.0) -> DataFrame:
     """Cross-border layering per card in the window before its last transaction (O-40)."""
     end = F.max("us").over(Window.partitionBy("card"))
     t = txn.withColumn("end", end).where(F.col("us") >= F.col("end") - hours * HOUR)
-    out = F.col("region") != home
-    g = t.groupBy("card").agg(F.count_if(out).alias("n_abroad"), F.countDistinct(F.when(out, F.col("region"))).alias("n_countries"), F.round(F.coalesce(F.sum(F.when(out, F.col("amount"))), F.lit(0.0)), 2).alias("abroad"), F.count_if(F.col("region").isin(*high)).alias("n_high"), F.count_if(F.col("region").isin(*grey)).alias("n_grey"))
+    place = F.col("region").cast("string")
+    out = ~place.isin(*home)
+    g = t.groupBy("card").agg(F.count_if(out).alias("n_abroad"), F.countDistinct(F.when(out, F.col("region"))).alias("n_countries"), F.round(F.coalesce(F.sum(F.when(out, F.col("amount"))), F.lit(0.0)), 2).alias("abroad"), F.count_if(place.isin(*high)).alias("n_high"), F.count_if(place.isin(*grey)).alias("n_grey"))
     c = F.col
     layered = ((c("n_countries") >= 3) & (c("n_abroad") >= 2)) | ((c("n_countries") >= 2) & (c("abroad") >= 1000 * scale))
     score = F.least(F.lit(0.99), F.when(c("n_high") > 0, 0.5).when(c("n_grey") > 0, 0.3).otherwise(0.0) + F.when(c("abroad") >= 5000 * scale, 0.3).when(c("abroad") >= 2500 * scale, 0.2).otherwise(0.0) + F.when(layered, 0.25).otherwise(0.0))
@@ -46,14 +67,14 @@ def cross_border(txn: DataFrame, hours: int = 48, home: int = 0, high: tuple[int
 
 def high_risk_mcc(txn: DataFrame, scale: float = 1.0) -> DataFrame:
     """Running exposure at high-risk merchant categories against each category's thresholds (O-41)."""
-    rules = txn.sparkSession.createDataFrame(MCC_RULES, "mcc int, factor double, edd double, sar double")
-    t = txn.join(F.broadcast(rules), "mcc").select("txn_id", "card", "mcc", "us", "amount", "factor", "edd", "sar")  # the rules are a fixed table
+    rules = txn.sparkSession.createDataFrame(MCC_RULES, "mcc int, factor double, edd double, sar double, action string")
+    t = txn.join(F.broadcast(rules), "mcc").select("txn_id", "card", "mcc", "us", "amount", "factor", "edd", "sar", "action")  # the rules are a fixed table
     w = Window.partitionBy("card", "mcc").orderBy("us", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("running", F.sum("amount").over(w))
-    n = t.groupBy("card").agg(F.countDistinct("mcc").alias("n_mcc"), F.count("*").alias("n"), F.round(F.max("running"), 4).alias("most"), F.max(F.col("running") >= F.col("edd") * scale).alias("edd"), F.max(F.col("running") >= F.col("sar") * scale).alias("sar"), F.max("factor").alias("factor"))
+    n = t.groupBy("card").agg(F.countDistinct("mcc").alias("n_mcc"), F.count("*").alias("n"), F.round(F.max("running"), 4).alias("most"), F.max(F.col("running") >= F.col("edd") * scale).alias("edd"), F.max(F.col("running") >= F.col("sar") * scale).alias("sar"), F.max("factor").alias("factor"), F.concat_ws(",", F.array_sort(F.collect_set("action"))).alias("restrictions"))
     factor = F.col("factor") * F.when(F.col("n_mcc") >= 3, 1.5).when(F.col("n_mcc") == 2, 1.25).otherwise(1.0)
     actions = F.concat_ws(",", F.when(F.col("sar"), "FILE_SAR"), F.when(F.col("edd"), "ENHANCED_DUE_DILIGENCE"), F.lit("MONITOR"))
-    return n.select("card", "n_mcc", "n", "most", F.round(factor, 4).alias("factor"), actions.alias("actions"))
+    return n.select("card", "n_mcc", "n", "most", F.round(factor, 4).alias("factor"), "restrictions", actions.alias("actions"))
 
 
 def jurisdiction(text: Column) -> Column:

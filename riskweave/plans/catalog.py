@@ -179,7 +179,7 @@ QUERIES: dict[str, Query] = {
     "triplets_cypher": _on(lambda t: graphs.serialise(graphs.triplets(t).where("predicate = 'INVESTIGATES_CARD'"), "cypher")),
     "triplets_ntriples": _on(lambda t: graphs.serialise(graphs.triplets(t), "ntriples")),
     "structuring": _on(regulatory.structuring, 0.01),
-    "cross_border": _on(regulatory.cross_border, scale=0.05),
+    "cross_border": _on(regulatory.cross_border, home=("0",), high=("3", "7"), grey=("5",), scale=0.05),
     "high_risk_mcc": _on(regulatory.high_risk_mcc, 0.1),
     "jurisdiction": _table("conversations", lambda c: c.select("conv_id", "turn", regulatory.jurisdiction(F.col("text")).alias("place"))),
     "obligations": _on(_obligations),

@@ -174,7 +174,7 @@ ORACLE_SQL: dict[str, str] = {
     "triplets_cypher": q(CASES, "SELECT DISTINCT 'MERGE (a:Entity {id: \"' || case_id || '\"}) MERGE (b:Entity {id: \"' || card || '\"}) MERGE (a)-[:INVESTIGATES_CARD]->(b)' AS statement FROM c"),
     "structuring": q(f"w AS (SELECT *, max(us) OVER (PARTITION BY customer) AS e FROM t)", f"w2 AS (SELECT *, count(*) FILTER (amount >= 0.7::DOUBLE * 100) OVER (PARTITION BY customer ORDER BY us RANGE BETWEEN {6 * H} PRECEDING AND CURRENT ROW) AS near FROM w WHERE us >= e - {24 * H})", "g AS (SELECT customer, count(*) AS n, round(sum(amount), 2) AS total, max(amount) AS most, count(DISTINCT card) AS n_cards, count(*) FILTER (amount BETWEEN 80 AND 99.9999) AS nb, max(near) AS near, count(*) FILTER (amount >= 20 AND amount % 10 = 0) AS nr FROM w2 GROUP BY customer)", "SELECT customer, n, total, n_cards, concat_ws(',', CASE WHEN total >= 100 THEN 'CTR_LIMIT' END, CASE WHEN nb >= 2 THEN 'SUB_THRESHOLD' END, CASE WHEN n_cards >= 2 AND total >= 100 AND most < 100 THEN 'CARD_DISPERSION' END, CASE WHEN near >= 3 THEN 'RAPID_NEAR_LIMIT' END, CASE WHEN nr >= 2 THEN 'ROUND_SUMS' END) AS indicators, nb >= 2 OR (n_cards >= 2 AND total >= 100 AND most < 100) OR near >= 3 AS is_structuring FROM g"),
     "cross_border": q(f"w AS (SELECT *, max(us) OVER (PARTITION BY card) AS e FROM t)", f"g AS (SELECT card, count(*) FILTER (region <> 0) AS n_abroad, count(DISTINCT region) FILTER (region <> 0) AS n_countries, round(coalesce(sum(amount) FILTER (region <> 0), 0), 2) AS abroad, count(*) FILTER (region IN (3, 7)) AS n_high, count(*) FILTER (region = 5) AS n_grey FROM w WHERE us >= e - {48 * H} GROUP BY card)", "l AS (SELECT *, (n_countries >= 3 AND n_abroad >= 2) OR (n_countries >= 2 AND abroad >= 50) AS layered FROM g)", "s AS (SELECT *, round(least(0.99::DOUBLE, CASE WHEN n_high > 0 THEN 0.5 WHEN n_grey > 0 THEN 0.3 ELSE 0 END + CASE WHEN abroad >= 250 THEN 0.3 WHEN abroad >= 125 THEN 0.2 ELSE 0 END + CASE WHEN layered THEN 0.25 ELSE 0 END), 4)::DOUBLE AS score FROM l)", "SELECT *, CASE WHEN score >= 0.7 THEN 'CRITICAL' WHEN score >= 0.4 THEN 'HIGH' WHEN score >= 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s"),
-    "high_risk_mcc": q("r(mcc, factor, edd, sar) AS (VALUES (6051, 1.5::DOUBLE, 1000.0::DOUBLE, 3000.0::DOUBLE), (7995, 1.4, 1500, 4000), (4829, 1.6, 1000, 2500), (6011, 1.2, 2000, 5000), (5933, 1.3, 1500, 4000))", "x AS (SELECT t.*, factor, edd, sar, sum(amount) OVER (PARTITION BY card, mcc ORDER BY us, txn_id ROWS UNBOUNDED PRECEDING) AS run FROM t JOIN r USING (mcc))", "SELECT card, count(DISTINCT mcc) AS n_mcc, count(*) AS n, round(max(run), 4) AS most, round(max(factor) * CASE WHEN count(DISTINCT mcc) >= 3 THEN 1.5 WHEN count(DISTINCT mcc) = 2 THEN 1.25 ELSE 1 END, 4)::DOUBLE AS factor, concat_ws(',', CASE WHEN bool_or(run >= sar * 0.1) THEN 'FILE_SAR' END, CASE WHEN bool_or(run >= edd * 0.1) THEN 'ENHANCED_DUE_DILIGENCE' END, 'MONITOR') AS actions FROM x GROUP BY card"),
+    "high_risk_mcc": q("r(mcc, factor, edd, sar, action) AS (VALUES (6051, 2.0::DOUBLE, 1000.0::DOUBLE, 2000.0::DOUBLE, 'RESTRICT_QUASI_CASH'), (4829, 2.0, 1500, 2500, 'RESTRICT_OUTBOUND_WIRES'), (7995, 2.5, 2000, 3000, 'STEP_UP_AUTH'), (5944, 1.75, 2500, 5000, 'ENHANCED_DUE_DILIGENCE'), (6211, 1.5, 3000, 5000, 'STEP_UP_AUTH'))", "x AS (SELECT t.*, factor, edd, sar, action, sum(amount) OVER (PARTITION BY card, mcc ORDER BY us, txn_id ROWS UNBOUNDED PRECEDING) AS run FROM t JOIN r USING (mcc))", "SELECT card, count(DISTINCT mcc) AS n_mcc, count(*) AS n, round(max(run), 4) AS most, round(max(factor) * CASE WHEN count(DISTINCT mcc) >= 3 THEN 1.5 WHEN count(DISTINCT mcc) = 2 THEN 1.25 ELSE 1 END, 4)::DOUBLE AS factor, array_to_string(list_sort(list(DISTINCT action)), ',') AS restrictions, concat_ws(',', CASE WHEN bool_or(run >= sar * 0.1) THEN 'FILE_SAR' END, CASE WHEN bool_or(run >= edd * 0.1) THEN 'ENHANCED_DUE_DILIGENCE' END, 'MONITOR') AS actions FROM x GROUP BY card"),
     "jurisdiction": "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(coalesce(text, '')), '\\b(uk|gbp|fca|london|united kingdom)\\b') THEN 'UK' WHEN regexp_matches(lower(coalesce(text, '')), '\\b(eu|eur|euro|gdpr|sepa)\\b') THEN 'EU' ELSE 'US' END AS place FROM conversations",
     "obligations": q(CASES, "x AS (SELECT case_id, exposure, date_trunc('day', make_timestamp(opened_us)) AS opened, CASE txn_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' ELSE 'EU' END AS place FROM c)", "SELECT case_id, place, exposure >= CASE place WHEN 'UK' THEN 30 WHEN 'EU' THEN 25 ELSE 50 END AS must_file, strftime(opened + to_days(CASE place WHEN 'UK' THEN 14 WHEN 'EU' THEN 10 ELSE 30 END), '%Y-%m-%d') AS deadline FROM x"),
     "mask_text": r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?(\d{4})\b', '****-****-****-\1', 'g'), '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g') AS masked FROM conversations",
@@ -206,7 +206,9 @@ ORACLE_SQL: dict[str, str] = {
     "backoff": q("SELECT txn_id, least(300.0::DOUBLE, 2 * pow(2, txn_id % 8)) AS wait, CASE WHEN txn_id % 8 + 1 >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY' END AS state FROM t"),
     "tasks_once": q("x AS (SELECT *, sha256(card::VARCHAR || '|' || merchant) AS key FROM t)", "SELECT key, txn_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, txn_id) AS r FROM x) WHERE r = 1"),
     "link_parts": r"""WITH p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part),
-x AS (SELECT a.k AS p_partkey_a, b.k AS p_partkey_b, round(CASE WHEN lower(trim(a.name)) = '' AND lower(trim(b.name)) = '' THEN 1 WHEN lower(trim(a.name)) = '' OR lower(trim(b.name)) = '' THEN 0 ELSE jaro_winkler_similarity(lower(trim(a.name)), lower(trim(b.name))) END, 4) AS s FROM p a JOIN p b ON a.brand = b.brand AND a.type = b.type AND a.size = b.size AND a.k < b.k),
+x0 AS (SELECT a.k AS p_partkey_a, b.k AS p_partkey_b, lower(trim(a.name)) AS u, lower(trim(b.name)) AS v FROM p a JOIN p b ON a.brand = b.brand AND a.type = b.type AND a.size = b.size AND a.k < b.k),
+x1 AS (SELECT *, jaro_similarity(u, v) AS j, CASE WHEN left(u, 4) = left(v, 4) THEN 4 WHEN left(u, 3) = left(v, 3) THEN 3 WHEN left(u, 2) = left(v, 2) THEN 2 WHEN left(u, 1) = left(v, 1) THEN 1 ELSE 0 END AS l FROM x0),
+x AS (SELECT *, CASE WHEN u = '' AND v = '' THEN 1 WHEN u = '' OR v = '' THEN 0 ELSE round(j + l * 0.1::DOUBLE * (1 - j), 4) END AS s FROM x1),
 y AS (SELECT *, CASE WHEN s >= 0.9 THEN 1 WHEN s < 0.75 THEN 0 ELSE (s - 0.75::DOUBLE) / (0.9::DOUBLE - 0.75::DOUBLE) END AS g FROM x),
 z AS (SELECT *, round(g * log2(0.95::DOUBLE / 0.05::DOUBLE) + (1 - g) * log2(0.05::DOUBLE / 0.95::DOUBLE) + log2(0.9::DOUBLE / 0.1::DOUBLE) + log2(0.85::DOUBLE / 0.08::DOUBLE), 6) AS weight FROM y)
 SELECT p_partkey_a, p_partkey_b, weight, round(1 / (1 + pow(2.0, -weight)), 6) AS posterior, CASE WHEN 1 / (1 + pow(2.0, -weight)) >= 0.85 THEN 'MATCH' WHEN 1 / (1 + pow(2.0, -weight)) >= 0.65 THEN 'POSSIBLE' ELSE 'DISTINCT' END AS decision FROM z""",

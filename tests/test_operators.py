@@ -109,6 +109,16 @@ def test_jaro_winkler():
     assert jaro("dixon", "dicksonx") == pytest.approx(0.7667, abs=1e-4)
 
 
+def test_linkage_of_profiles(spark):
+    from riskweave.operators import linkage
+
+    same = ["iPhone 12", "iOS 15", "Safari", "390x844", "x.org", "bob", "10.0.0", "87"]
+    other = ["Galaxy", "Android", "Chrome", "1x1", "y.org", "alice", "9.9.9", "12"]
+    cols = [f"{n}_{x}" for x in "ab" for n in linkage.ATTRIBUTES]
+    df = spark.createDataFrame([tuple(same + same), tuple(same + other), tuple([None] * 16)], ", ".join(f"{c} string" for c in cols))
+    assert [r["decision"] for r in linkage.compare(df).select("posterior", "decision").collect()] == ["MATCH", "DISTINCT", "DISTINCT"]
+
+
 def test_structuring_flags(spark):
     t = txns(spark, [(1, 0, 1, "click", 8500, 1), (2, 60, 51, "click", 9999.99, 1), (3, 0, 2, "click", 10000, 1)])
     got = {r["customer"]: (r["indicators"], r["is_structuring"]) for r in regulatory.structuring(t).collect()}
