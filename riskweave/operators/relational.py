@@ -61,7 +61,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by flag and status up to a date."""
     l = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(price), 2).alias("sum_net"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count("*").alias("n"))
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(price), 4).alias("sum_net"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count("*").alias("n"))
 
 
 def supplier_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def supplier_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o, c, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey).where("c_nationkey <> s_nationkey")
     a, b = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("buyer")), n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller"))
-    g = j.groupBy("c_nationkey", "s_nationkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.count("*").alias("n"))
+    g = j.groupBy("c_nationkey", "s_nationkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("net"), F.count("*").alias("n"))
     return g.join(a, "c_nationkey").join(b, "s_nationkey").select("buyer", "seller", "net", "n")
 
 

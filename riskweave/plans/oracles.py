@@ -230,7 +230,7 @@ SELECT p_partkey_a, p_partkey_b, weight, round(1 / (1 + pow(2.0, -weight)), 6) A
     "customers_with_large_orders": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 400000)",
     "as_of_status": q("SELECT txn_id, (SELECT arg_max(e.txn_id, (e.us, e.txn_id)) FROM t e WHERE e.is_fraud AND e.card = x.card AND e.us <= x.us) AS error_id FROM t x"),
     "interval_pairs": q("SELECT b.card, b.txn_id AS buy_id, e.txn_id AS error_id FROM t b JOIN t e ON b.card = e.card AND e.is_fraud AND b.merchant LIKE 'purchase%' AND e.us > b.us AND e.us - b.us <= 1800000000"),
-    "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2)::DOUBLE AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
-    "supplier_market": "SELECT a.n_name AS buyer, b.n_name AS seller, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey GROUP BY a.n_name, b.n_name",
+    "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2)::DOUBLE AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_net, round(avg(l_discount), 6) AS avg_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
+    "supplier_market": "SELECT a.n_name AS buyer, b.n_name AS seller, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE c_nationkey <> s_nationkey GROUP BY a.n_name, b.n_name",
     "top_customers": "WITH x AS (SELECT c_mktsegment, c_custkey, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, c_custkey))::INTEGER AS rank FROM x) WHERE rank <= 3",
 }
