@@ -8,8 +8,10 @@ its context window weakens it where it is quoted or reported and strengthens it
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -182,12 +184,12 @@ def score(model: Model, matcher: Matcher, text: str | None) -> float:
 
 
 def _different(texts: list[str]) -> list[tuple[str, set[str]]]:
-    """Texts and their words, without further near copies: those that share the smallest hash of a longish word."""
+    """Texts and their words, without further near copies: those that share the three smallest hashes of their words."""
     out, seen = [], set()
     for t in texts:
-        words = set(WORD.findall(t.lower()))
-        mark = min((xxhash.xxh64_intdigest(w) for w in words if len(w) > 7), default=None)
-        if mark is None or mark not in seen:
+        words = set(map(sys.intern, WORD.findall(t.lower())))
+        mark = tuple(sorted(map(xxhash.xxh64_intdigest, words))[:3])
+        if mark not in seen:
             seen.add(mark)
             out.append((t, words))
     return out
@@ -212,21 +214,20 @@ def learn(toxic: list[str], other: list[str], prior: float) -> Model:
     pos, neg = _different(toxic), _different(other)
     if not pos or not neg:
         return Model(coefficients=[math.log(prior / (1 - prior))] + [0.0] * (FEATURES - 1))
-    sets = [_terms_of(w) for _, w in pos]
     counts, against = Counter(), Counter()
-    for x in sets:
-        counts.update(x)
+    for _, w in pos:
+        counts.update(_terms_of(w))
     least = max(4, len(pos) // 150)
     frequent = {t for t, n in counts.items() if n >= least}
+    counts = Counter({t: counts[t] for t in frequent})
     for _, w in neg:
         against.update(_terms_of(w, frequent))
     share = len(pos) / len(neg)
     usable = {t for t in frequent if counts[t] > 6 * share * against[t]}
     where: dict[str, list[tuple[int, int]]] = {t: [] for t in usable}
-    for i, x in enumerate(sets):
-        for t, n in x.items():
-            if t in where:
-                where[t].append((i, n))
+    for i, (_, w) in enumerate(pos):
+        for t, n in _terms_of(w, usable).items():
+            where[t].append((i, n))
     chosen: list[str] = []
     need = [ENOUGH] * len(pos)
     heap = sorted(usable, key=lambda t: (-(counts[t] - 3 * share * against[t]), t))
@@ -298,10 +299,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         first = part if first is None else first.unionByName(part)
     # bounded by TOXIC_ROWS + OTHER_ROWS rows
     chosen = F.broadcast(first.dropDuplicates(["id"]))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").where("text is not null").dropDuplicates(["id", "text"]).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["id"], r["text"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").where("text is not null").dropDuplicates(["id", "text"]).select("id", "text", "toxic")
     n = sum(counts.values())
-    return learn([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]], counts.get(True, 0) / n if n else 0.01)
+    prior = counts.get(True, 0) / n if n else 0.01
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], r[1]))
+        model = learn([t for _, t, bad in got if bad], [t for _, t, bad in got if not bad], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([model.terms, model.strength, model.misspelled, model.coefficients])], pa.string())], ["model"])
+
+    # the sample is learned from in one task, so that the driver needn't hold it
+    found = rows.repartition(1).mapInArrow(run, "model string").collect()
+    terms, strength, misspelled, coefficients = json.loads(found[0]["model"]) if found else ([], [], [], learn([], [], prior).coefficients)
+    return Model([(t, stem) for t, stem in terms], strength, misspelled, coefficients)
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
