@@ -15,7 +15,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.shared import connected, slices, stage
@@ -68,6 +68,12 @@ def balls(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
+def _probe(probes: DataFrame, table: DataFrame, near: Column) -> DataFrame:
+    """Probes that meet a table's entry. Sorted, never broadcast: the planner takes probes to be as small as the
+    fingerprints that they are made of."""
+    return probes.hint("merge").join(table.hint("merge"), (probes.seg == table.seg) & (probes.key == table.key) & near).select("a", "b")
+
+
 def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
     """Pairs (a < b) of distinct values ``fp`` that differ in 1 to ``distance`` bits: all of them, each once or more.
 
@@ -82,7 +88,7 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
     table = own.select(F.col("p.seg").alias("seg"), F.col("p.key").alias("key"), F.col("fp").alias("b"))
     probes = own.select(F.col("p.seg").alias("seg"), F.col("fp").alias("a"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("p.key")))).alias("key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return probes.join(table, (probes.seg == table.seg) & (probes.key == table.key) & near).select("a", "b")
+    return _probe(probes, table, near)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +147,7 @@ def balls_join(fps: DataFrame, distance: int, segments: int, radius: int) -> Dat
     table = own.select(F.col("p.seg").alias("seg"), F.col("p.key").alias("key"), F.col("fp").alias("b"))
     probes = own.select(F.col("p.seg").alias("seg"), F.col("fp").alias("a"), F.explode(F.transform("p.masks", lambda m: m.bitwiseXOR(F.col("p.key")))).alias("key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return probes.join(table, (probes.seg == table.seg) & (probes.key == table.key) & near).select("a", "b")
+    return _probe(probes, table, near)
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
