@@ -25,6 +25,8 @@ from riskweave.llm.shared import slices, stage
 from riskweave.llm.tokens import encoder
 
 CAPACITY = 4096
+#: Text bytes tokenized together: each needs some dozen bytes of arrays.
+TOKENIZED = 2 << 20
 END = 1
 #: Ranges of a hash among which the pieces of one length are dealt out for ranking.
 RANGES = 512
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TOKENIZED):
             flat, at = encode.ids([x or "" for x in b.column(1).to_pylist()])
             rows: list[tuple] = []
             for i, doc in enumerate(b.column(0).to_pylist()):

@@ -20,7 +20,7 @@ LIMIT = 0x2060
 SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Different words whose ids a worker keeps; beyond it starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +35,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return classes, lower
 
 
+def _byte_symbols() -> dict[int, int]:
+    """The byte-level splitter's symbol of each byte: itself if printable, else the next code point from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in kept]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
     """``ids(texts)`` gives all ids of some texts in one array, and where each text's ids begin and end in it."""
 
@@ -47,8 +54,9 @@ class Encoder:
             spec = json.load(f)
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": SPLIT} and spec["model"].get("dropout") is None
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": SPLIT} and parts[-1].get("type") == "ByteLevel" and spec["model"].get("dropout") is None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.symbols = _byte_symbols()
         self.classes, self.lower = _tables()
         self.rolling = Rolling(20240607, LIMIT + 1)
         self._forget()
@@ -59,8 +67,11 @@ class Encoder:
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, got in zip(hashes, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            ids, slot = got.ids, len(self.slots)
+        model = self.library.model
+        for h, word in zip(hashes, words):
+            # the splitter's byte symbols, then the library's own merges
+            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
+            slot = len(self.slots)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             if slot >= len(self.begin):
