@@ -150,17 +150,17 @@ def balls_join(fps: DataFrame, distance: int, segments: int, radius: int) -> Dat
     return _probe(probes, table, near)
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, first_size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): classes of texts that are alike, in two steps.
 
-    First as ``near_duplicates``: fingerprints of ``size``-word shingles within ``distance`` bits. One text stands for
-    each class. Of those, pairs whose fingerprints by different words differ in at most 1 - ``similarity`` of the bits
+    First as ``near_duplicates``: fingerprints of ``first_size``-word shingles within ``distance`` bits. One text stands
+    for each class, so that a large group of near copies isn't compared pair by pair. Of those, pairs whose fingerprints by different words differ in at most 1 - ``similarity`` of the bits
     (and in at most one bit of a third of them) are compared whole, and linked if the Jaccard similarity of their
     shingle sets is ``similarity`` at least. Links between other texts of two classes aren't sought. Null ids have no
     class; rows with one id are one text.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sketches = stage(_sketches(plain, size), "similar")
+    sketches = stage(_sketches(plain, first_size), "similar")
     nodes = stage(sketches.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("words", "id").alias("words")), "similar-nodes")
     first = stage(links(nodes.select("fp"), distance), "similar-first")
     by_fp = connected(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
