@@ -375,18 +375,35 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, their texts without repeated windows; n_chars, if there, is counted
     anew. Rows of which no word is left go; those that had none from the start stay."""
-    _, results = removals(docs, window, True, id_col, text_col)
-    r = results.where("kept is not null").select(F.col("sha").alias("__sha"), F.col("id").alias("__first"), F.col("kept").cast("string").alias("__kept"))
+    _, results = removals(docs, window, False, id_col, text_col)
+    r = results.where(F.col("n_bytes") >= window).select(F.col("sha").alias("__sha"), F.col("id").alias("__owner"), F.col("span_starts").alias("__starts"), F.col("span_ends").alias("__ends"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     last = F.lit((1 << 63) - 1)
-    copies = results.where(F.col("n_bytes") >= window).select(F.col("sha").alias("__sha"), F.col("id").alias("__owner"))
-    joined = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(copies, "__sha", "left").join(r, "__sha", "left")
+    joined = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(r, "__sha", "left")
     copy = F.col("__owner").isNotNull() & (F.coalesce(F.col(id_col).cast("long"), last) != F.col("__owner"))
-    new = F.when(copy, F.lit("")).when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col(text_col))
-    changed = copy | F.col("__kept").isNotNull()
-    out = joined.withColumn("__new", new).where(~changed | F.col("__new").rlike(r"[^\x20\x09-\x0D]")).withColumn(text_col, F.col("__new"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, names[place]):
+            out, keep, columns = [], [], list(b.columns)
+            gone, starts, ends = (c.to_pylist() for c in columns[-3:])
+            for t, whole, s, e in zip(columns[place].to_pylist(), gone, starts, ends):
+                if whole or s:
+                    raw = t.encode()
+                    t = "" if whole else b"".join(raw[x:y] for x, y in zip([0, *e], [*s, len(raw)])).decode("utf-8", "ignore")
+                    keep.append(bool(t.split()))
+                else:
+                    keep.append(True)
+                out.append(t)
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns[:-3], pa.array([bool(w or s) for w, s in zip(gone, starts)], pa.bool_())], [*names, "changed"]).filter(pa.array(keep, pa.bool_()))
+
+    flat = joined.select(*(F.col(f"`{c}`").cast("string" if i == place else t).alias(n) for i, (n, (c, t)) in enumerate(zip(names, docs.dtypes))), copy.alias("gone"), F.col("__starts").alias("starts"), F.col("__ends").alias("ends"))
+    schema = ", ".join(f"{n} {'string' if i == place else t}" for i, (n, (_, t)) in enumerate(zip(names, docs.dtypes)))
+    out = flat.mapInArrow(run, schema + ", changed boolean").toDF(*docs.columns, "__changed")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
 
 
