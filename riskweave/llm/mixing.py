@@ -89,7 +89,8 @@ def plan(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, fraction
         parent = path
     target = leaf.join(budgets, LEVELS).select(*LEVELS, "n", F.floor("above").cast("long").alias("target"))
     whole = F.when(F.col("n") > 0, F.floor(F.col("target") / F.col("n"))).otherwise(0).cast("long")
-    target = target.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("n")).drop("n", "target")
+    # staged, its size is known: one row per leaf, so that documents are joined where they are
+    target = stage(target.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("n")).drop("n", "target"), "mixing-target")
     shift = HASH_BITS - (RANGES.bit_length() - 1)
     placed = rows.join(target.where("rest > 0"), LEVELS).withColumn("h", order_hash(seed, F.col("whole"), F.col("id"))).withColumn("range", F.shiftright("h", shift))
     sums = placed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
