@@ -5,10 +5,13 @@ most ``distance`` bits differ in at most ``distance // segments`` bits of one of
 fingerprint enters a table under each of its segments, each fingerprint looks up the small Hamming ball around each of
 its own segments there, and matches are kept by their complete distance. Copies of a fingerprint are aggregated first:
 links are only ever made between different fingerprints.
+
+The pipeline's ``similar`` compares whole shingle sets instead; its candidates come from exact prefix filtering.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -108,79 +111,113 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, id_col: s
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def _features(text: str | None) -> np.ndarray:
-    """XXH64 of every different word: a changed word changes one feature, so close texts stay close in few bits."""
-    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words_of(text))], np.uint64)
+#: Counters of how many texts have a shingle, shared by shingles of equal upper bits; only the order of shingles hangs on them.
+COUNTERS_BITS = 20
+
 
+def _grams(text: str | None, size: int) -> np.ndarray:
+    """The text's different shingle hashes, sorted."""
+    return np.unique(shingle_hashes(words_of(text), size))
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, fp by ``size``-word shingles, words: fp by different words) of ``docs`` (id, text)."""
+
+def _counters(docs: DataFrame, size: int) -> np.ndarray:
+    """How many texts of ``docs`` (id, text) have a shingle, by its hash's upper bits. What is collected is bounded by
+    the number of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS_BITS, np.int64)
         for b in slices(batches, "text"):
-            texts = b.column(1).to_pylist()
-            a, w = ([majority(f(x)) for x in texts] for f in (lambda x: shingle_hashes(words_of(x), size), _features))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.int64()), pa.array(w, pa.int64())], ["id", "fp", "words"])
+            for x in b.column(1).to_pylist():
+                # different shingles of one text may share a counter
+                np.add.at(total, (_grams(x, size) >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), 1)
+        at = np.nonzero(total)[0]
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["at", "n"])
+
+    got = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTERS_BITS, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
 
-    return docs.mapInArrow(run, "id long, fp long, words long")
+
+def _prefixes(docs: DataFrame, size: int, similarity: float, counters: np.ndarray) -> DataFrame:
+    """(id, fp: hash of the shingle set, n: its size, prefix) of ``docs`` (id, text). In the order of their counters,
+    then hashes, sets that are alike share one of their first n - ceil(similarity n) + 1 shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            fps, sizes, firsts = [], [], []
+            for x in b.column(1).to_pylist():
+                g = _grams(x, size)
+                most = len(g) - math.ceil(similarity * len(g) - 1e-9) + 1 if len(g) else 0
+                order = np.argsort(counters[(g >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)], kind="stable")
+                fps.append(int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes(), SEED)).view(np.int64)))
+                sizes.append(len(g))
+                firsts.append(g[order[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "fp", "n", "prefix"])
+
+    return docs.mapInArrow(run, "id long, fp long, n long, prefix array<long>")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, set of shingle hashes) of ``docs`` (id, text)."""
+    """(fp, set of shingle hashes) of ``docs`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(words_of(x), size)).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+            sets = [_grams(x, size) for x in b.column(1).to_pylist()]
+            fps = [int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes(), SEED)).view(np.int64)) for g in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], ["fp", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams array<long>")
+    return docs.mapInArrow(run, "fp long, grams array<long>")
 
 
-def balls_join(fps: DataFrame, distance: int, segments: int, radius: int) -> DataFrame:
-    """As ``links`` with a ball of a chosen radius: pairs within ``distance`` bits of which some segment differs in at
-    most ``radius``. Segments are equal but for the last, which has the bits that are left."""
-    ends = [BITS * (i + 1) // segments for i in range(segments)]
-    starts = [0, *ends[:-1]]
-    own = fps.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(i).cast("int").alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << (e - s)) - 1).cast("long")).alias("key"), F.array(*(F.lit(m).cast("long") for m in balls(e - s, radius))).alias("masks"))
-        for i, (s, e) in enumerate(zip(starts, ends))))).alias("p"))
-    table = own.select(F.col("p.seg").alias("seg"), F.col("p.key").alias("key"), F.col("fp").alias("b"))
-    probes = own.select(F.col("p.seg").alias("seg"), F.col("fp").alias("a"), F.explode(F.transform("p.masks", lambda m: m.bitwiseXOR(F.col("p.key")))).alias("key"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return _probe(probes, table, near)
+def _verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (left, right: fp) whose whole shingle sets are alike."""
+    asked = stage(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct().join(nodes, "fp").select("fp", "node"), "similar-asked")
+    texts = plain.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    grams = stage(_shingle_sets(texts, size).join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "similar-grams")
+    l, r = (grams.select(F.col("fp").alias(x), F.col("grams").alias(y)) for x, y in (("left", "l"), ("right", "r")))
+    common = F.size(F.array_intersect("l", "r"))
+    return pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"))
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, first_size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): classes of texts that are alike, in two steps.
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): classes of texts linked by sets of ``size``-word shingles of at least that Jaccard similarity.
 
-    First as ``near_duplicates``: fingerprints of ``first_size``-word shingles within ``distance`` bits. One text stands
-    for each class, so that a large group of near copies isn't compared pair by pair. Of those, pairs whose fingerprints by different words differ in at most 1 - ``similarity`` of the bits
-    (and in at most one bit of a third of them) are compared whole, and linked if the Jaccard similarity of their
-    shingle sets is ``similarity`` at least. Links between other texts of two classes aren't sought. Null ids have no
-    class; rows with one id are one text.
+    All such links count, and no others: equal sets are one node; of other sets the pairs that share a shingle of their
+    prefixes, rare shingles first, hold every pair that is alike, and are compared whole. The first text of each shingle
+    is compared with its others first; then pairs of texts that aren't of one class yet, so that a large group of near
+    copies isn't compared pair by pair. Null ids have no class; rows with one id are one text.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sketches = stage(_sketches(plain, first_size), "similar")
-    nodes = stage(sketches.groupBy("fp").agg(F.min("id").alias("node"), F.min_by("words", "id").alias("words")), "similar-nodes")
-    first = stage(links(nodes.select("fp"), distance), "similar-first")
-    by_fp = connected(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    grouped = nodes.join(by_fp, nodes.fp == by_fp.id, "left").select("fp", "node", "words", F.coalesce("component", "fp").alias("group"))
-    classes = stage(grouped.groupBy("group").agg(F.min("node").alias("node"), F.min_by("words", "node").alias("words")), "similar-classes")
-    # texts with the same different words are one in the table; their least ids stand in a row, linked by verification too
-    words = stage(classes.groupBy("words").agg(F.min("node").alias("node")), "similar-words")
-    near = balls_join(words.select(F.col("words").alias("fp")), int(BITS * (1 - similarity)), 3, 1).distinct()
-    a, b = (words.select(F.col("words").alias(x), F.col("node").alias(y)) for x, y in (("a", "left"), ("b", "right")))
-    same = classes.join(words.select("words", F.col("node").alias("least")), "words").where("node <> least").select(F.col("least").alias("left"), F.col("node").alias("right"))
-    pairs = stage(near.join(a, "a").join(b, "b").select("left", "right").unionByName(same), "similar-pairs")
-    asked = pairs.select(F.col("left").alias("id")).unionByName(pairs.select(F.col("right").alias("id"))).distinct()
-    grams = stage(_shingle_sets(plain.join(asked, "id", "left_semi").select("id", "text"), size).dropDuplicates(["id"]), "similar-grams")
-    l, r = (grams.select(F.col("id").alias(x), F.col("grams").alias(y)) for x, y in (("left", "l"), ("right", "r")))
-    common = F.size(F.array_intersect("l", "r"))
-    alike = pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common)).where((F.size("l") > 0) | (F.size("r") > 0))
-    second = connected(alike.select(F.col("left").alias("src"), F.col("right").alias("dst")))
-    final = classes.join(second, classes.node == second.id, "left").select("group", F.coalesce("component", "node").alias("component"))
-    labels = grouped.select("fp", "group").join(final, "group").select("fp", "component")
-    return sketches.join(labels, "fp").select("id", "component")
+    sketches = stage(_prefixes(plain, size, similarity, _counters(plain, size)), "similar")
+    nodes = stage(sketches.groupBy("fp").agg(F.min("id").alias("node")), "similar-nodes")
+    firsts = sketches.join(nodes, (sketches.fp == nodes.fp) & (sketches.id == nodes.node), "left_semi").dropDuplicates(["fp"])
+    tokens = firsts.select(F.explode("prefix").alias("token"), "fp", "n")
+    heads = tokens.groupBy("token").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("texts")).where("texts > 1").select("token", "head")
+    # shingles of at least two texts' prefixes
+    shared_tokens = stage(tokens.join(heads, "token"), "similar-tokens")
+    fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    c = F.col
+    to_heads = stage(shared_tokens.where((c("fp") != c("head.fp")) & fits(c("n"), c("head.n"))).select(c("head.fp").alias("left"), c("fp").alias("right")).distinct(), "similar-heads")
+    alike = stage(_verified(plain, nodes, to_heads, size, similarity), "similar-alike")
+    known = stage(connected(alike), "similar-known")
+    members = shared_tokens.join(known.withColumnRenamed("id", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("part"))
+    several = members.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
+    members = stage(members.join(several, "token", "left_semi"), "similar-members")
+    a, b = (members.select("token", *(c(x).alias(f"{x}_{s}") for x in ("fp", "n", "part"))) for s in "ab")
+    parts = members.select("token", "part").distinct()
+    cross = parts.select("token", c("part").alias("part_a")).join(parts.select("token", c("part").alias("part_b")), "token").where("part_a < part_b")
+    found = cross.join(a, ["token", "part_a"]).join(b, ["token", "part_b"]).where(fits(c("n_a"), c("n_b")))
+    rest = found.select(F.least("fp_a", "fp_b").alias("left"), F.greatest("fp_a", "fp_b").alias("right")).distinct()
+    tried = to_heads.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
+    rest = stage(rest.join(tried, ["left", "right"], "left_anti"), "similar-rest")
+    final = connected(alike.unionByName(_verified(plain, nodes, rest, size, similarity)))
+    grouped = nodes.join(final, nodes.fp == final.id, "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("node").alias("component"))
+    labels = grouped.join(least, "group").select("fp", "component")
+    return sketches.select("id", "fp").join(labels, "fp").select("id", "component")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
