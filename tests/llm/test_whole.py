@@ -33,3 +33,18 @@ def test_similar_finds_every_appended_cut_and_edited_text(spark):
         pairs += alike
         assert (got[i] == got[i + 1]) == alike, i
     assert pairs > 100
+
+
+def test_similar_leaves_texts_that_share_a_repeated_line(spark):
+    rng = np.random.default_rng(14)
+    line = "this is the line of nine words repeated often"
+    texts = [" ".join([line] * 60 + [f"own{i}x{j}" for j in range(100)]) for i in range(12)]
+    # a chain: each is alike to the next only, so the first text of all shared shingles doesn't reach the rest
+    words = [f"c{i}" for i in range(180)]
+    chain = []
+    for k in range(5):
+        chain.append(" ".join(words[k * 10 : k * 10 + 100]))
+    order = rng.permutation(5)
+    got = {r["id"]: r["component"] for r in simhash.similar(documents(spark, texts + [chain[i] for i in order], False)).collect()}
+    assert all(got[i] == i for i in range(12))
+    assert jaccard(chain[0], chain[1]) >= 0.8 > jaccard(chain[0], chain[2]) and {got[i] for i in range(12, 17)} == {12}
