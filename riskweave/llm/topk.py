@@ -47,7 +47,6 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
     """(query id, row id, score): each query's k best rows but its own id, ties to the smaller id."""
     norms = (rows**2).sum(axis=1)
     to_rows, to_queries = _distances(rows, table), _distances(queries, table)
-    order0 = np.argsort(row_ids, kind="stable")
     for q, qid, dq in zip(queries, query_ids, to_queries):
         low = np.zeros(len(rows))
         for j in range(len(table)):
@@ -57,17 +56,19 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
         bound = (own + norms - np.maximum(low * (1 - 1e-9) - 1e-6, 0) ** 2) / 2
         bound += 1 + 1e-9 * (own + norms)
         bound[row_ids == qid] = -np.inf
-        scores, got, done, width, least = [], [], 0, max(64, 8 * k), -np.inf
-        while done < len(rows):
-            # the next rows in the order of their bounds
-            part = np.argpartition(-bound, min(done + width, len(rows)) - 1)[: done + width] if done + width < len(rows) else order0
-            part = part[np.argsort(-bound[part], kind="stable")][done:]
+        scores, got, left, width, least = [], [], np.arange(len(rows)), max(64, 8 * k), -np.inf
+        while len(left):
+            # the next rows in the order of their bounds; of equal ones at the cut, those not taken stay for later
+            if width < len(left):
+                cut = np.argpartition(-bound[left], width - 1)
+                part, left = left[cut[:width]], left[cut[width:]]
+            else:
+                part, left = left, left[:0]
             part = part[(bound[part] >= least) & (bound[part] > -np.inf)]
             if not len(part):
                 break
             scores.append(rows[part] @ q)
             got.append(part)
-            done += width
             width *= 4
             flat = np.concatenate(scores)
             if len(flat) >= k:

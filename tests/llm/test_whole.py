@@ -48,3 +48,24 @@ def test_similar_leaves_texts_that_share_a_repeated_line(spark):
     got = {r["id"]: r["component"] for r in simhash.similar(documents(spark, texts + [chain[i] for i in order], False)).collect()}
     assert all(got[i] == i for i in range(12))
     assert jaccard(chain[0], chain[1]) >= 0.8 > jaccard(chain[0], chain[2]) and {got[i] for i in range(12, 17)} == {12}
+
+
+def test_top_k_evaluates_each_of_many_copies_once():
+    from riskweave.llm import topk
+
+    rng = np.random.default_rng(13)
+    for n_same in (10, 200, 700):
+        for _ in range(10):
+            rows = rng.integers(-200, 200, (3000, 8)).astype(float)
+            # the best score of all, in copies across the first rounds' cuts
+            rows[rng.choice(3000, n_same, replace=False)] = 150.0
+            better = rng.choice(3000, 60, replace=False)
+            rows[better] = 151.0
+            ids, q = rng.permutation(3000), np.full((1, 8), 10.0)
+            k = 66
+            got = [(i, s) for _, i, s in topk.search(q, np.array([-1]), rows, ids, topk.pivots(rows[:500], 4), k)]
+            scores = (rows @ q[0]).astype(int)
+            assert got == sorted(((int(i), int(s)) for i, s in zip(ids, scores)), key=lambda r: (-r[1], r[0]))[:k]
+            # few are asked for, ties go to the smallest ids
+            got = [i for _, i, _ in topk.search(q, np.array([-1]), np.full((3000, 8), 3.0), ids, topk.pivots(rows[:500], 4), 5)]
+            assert got == [0, 1, 2, 3, 4]
