@@ -27,10 +27,12 @@ from riskweave.llm.shared import crc_of_id, slices
 WORD = re.compile(r"\w+")
 #: Constant; exact words; misspelled ones; stems (sum, from three on, per 100 words, logarithm, that times the length's).
 FEATURES = 8
-#: Labelled rows of each label that are learned from, at most, and terms of the lexicon.
+#: Labelled rows of each label that are learned from, at most, and terms of the lexicon (but for words that short stems explain).
 TOXIC_ROWS, OTHER_ROWS, TERMS = 1_500, 4_500, 400
 #: Shortest stem; words from which one edit, and two, are allowed.
 STEM, ONE_EDIT, TWO_EDITS = 4, 5, 9
+#: As anything may follow a stem, it needs a letter more for the same edits.
+STEM_MORE = 1
 #: Words of a toxic text that the lexicon should explain.
 ENOUGH = 4
 #: Context window in words, and the factors of hits that are quoted or reported, and of hits near an address.
@@ -42,16 +44,19 @@ QUOTES = "\"“”«»„"
 
 @dataclass
 class Model:
-    """terms: (text, is a stem); strength of each, 0 to 1, as it is and misspelled; coefficients of ``features``."""
+    """terms: (text, is a stem); strength of each, 0 to 1, as it is and misspelled; coefficients of ``features``;
+    others: beginnings near a stem that stand in other texts, so that they are no misspelling of it."""
 
     terms: list[tuple[str, bool]] = field(default_factory=list)
     strength: list[float] = field(default_factory=list)
     misspelled: list[float] = field(default_factory=list)
     coefficients: list[float] = field(default_factory=lambda: [-2.0] + [0.0] * (FEATURES - 1))
+    others: list[str] = field(default_factory=list)
 
 
 def allowed(term: str, stem: bool) -> int:
-    return 0 if stem or len(term) < ONE_EDIT else 1 if len(term) < TWO_EDITS else 2
+    n = len(term) - STEM_MORE if stem else len(term)
+    return 0 if n < ONE_EDIT else 1 if n < TWO_EDITS else 2
 
 
 class Matcher:
@@ -81,11 +86,15 @@ class Matcher:
             (self.stems if stem else self.words)[node].append(i)
         self.most = [allowed(*t) for t in terms]
         self.sets: list[dict[int, int]] = [{}]
-        self.begun: list[tuple[int, ...]] = [()]
+        #: Stems that the letters read so far begin with, each with the fewest edits.
+        self.begun: list[tuple[tuple[int, int], ...]] = [()]
         self.known: dict[tuple, int] = {(frozenset(), ()): self.DEAD}
         self.moves: dict[tuple[int, str], int] = {}
         self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
         self.start = self._state(self._skip({0: 0}), ())
+        begins = tuple(t for t, stem in terms if stem) or ("\0",)
+        #: Words that a stem begins: they count where they are misspelled, else the stem does.
+        self.explained = {i for i, (t, stem) in enumerate(terms) if not stem and t.startswith(begins)}
 
     def _skip(self, nodes: dict[int, int]) -> dict[int, int]:
         """Also the nodes reached by leaving out letters of a term."""
@@ -100,7 +109,7 @@ class Matcher:
                     stack.append((to, e + 1))
         return nodes
 
-    def _state(self, nodes: dict[int, int], begun: tuple[int, ...]) -> int:
+    def _state(self, nodes: dict[int, int], begun: tuple[tuple[int, int], ...]) -> int:
         key = (frozenset(nodes.items()), begun)
         if key not in self.known:
             self.known[key] = len(self.sets)
@@ -113,20 +122,23 @@ class Matcher:
         def reach(node: int, e: int) -> None:
             if e <= self.limit[node] and e < out.get(node, 9):
                 out[node] = e
-        begun = set(self.begun[state])
+        begun = dict(self.begun[state])
         for node, e in self.sets[state].items():
             reach(node, e + 1)
             for letter, to in self.children[node].items():
-                same = letter == c
-                reach(to, e if same else e + 1)
-                if same and e == 0:
-                    begun.update(self.stems[to])
-        got = self._state(self._skip(out), tuple(sorted(begun)))
+                reach(to, e if letter == c else e + 1)
+        self._skip(out)
+        for node, e in out.items():
+            for t in self.stems[node]:
+                if e <= self.most[t] and e < begun.get(t, 9):
+                    begun[t] = e
+        got = self._state(out, tuple(sorted(begun.items())))
         self.moves[state, c] = got
         return got
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
-        """(term, distance) of every lexicon term that the word is, or begins with."""
+        """(term, distance) of every lexicon term that the word is, or begins with; of a stem the distance to the
+        closest beginning."""
         state, moves = self.start, self.moves
         for c in word:
             to = moves.get((state, c))
@@ -135,7 +147,7 @@ class Matcher:
                 return ()
         if state not in self.ends:
             hits = {t: e for node, e in self.sets[state].items() for t in self.words[node] if e <= self.most[t]}
-            hits |= {t: 0 for t in self.begun[state]}
+            hits |= dict(self.begun[state])
             self.ends[state] = tuple(sorted(hits.items()))
         return self.ends[state]
 
@@ -150,6 +162,14 @@ def context(words: list[str], at: int, text: str, span: tuple[int, int]) -> floa
     return ADDRESSED if not ADDRESS.isdisjoint(near) else 1.0
 
 
+def hits_of(model: Model, matcher: Matcher, word: str) -> tuple[tuple[int, int], ...]:
+    """The matcher's hits, less stems that seem misspelled by a beginning of the model's ``others``."""
+    m = matcher.match(word)
+    if m and any(d and model.terms[t][1] for t, d in m) and word.startswith(tuple(model.others)):
+        return tuple((t, d) for t, d in m if not (d and model.terms[t][1]))
+    return m
+
+
 def features(model: Model, matcher: Matcher, text: str | None) -> list[float]:
     """What the odds are a linear function of, by the whole text: hits in their contexts, and how dense they are."""
     exact = misspelled = stems = 0.0
@@ -158,13 +178,15 @@ def features(model: Model, matcher: Matcher, text: str | None) -> list[float]:
         lowered = text.lower()
         found = WORD.findall(lowered)
         n = len(found)
-        hits = {w: m for w in set(found) if (m := matcher.match(w))}
+        hits = {w: m for w in set(found) if (m := hits_of(model, matcher, w))}
         if hits:
             for at, m in enumerate(WORD.finditer(lowered)):
                 if m.group() in hits:
                     factor = context(found, at, lowered, m.span())
                     own = hits[m.group()]
-                    whole = [(d, t) for t, d in own if not model.terms[t][1]]
+                    begun = [(d, t) for t, d in own if model.terms[t][1]]
+                    plain = any(d == 0 for d, _ in begun)
+                    whole = [(d, t) for t, d in own if not model.terms[t][1] and not (plain and t in matcher.explained)]
                     if whole:
                         d, t = min(whole)
                         if d == 0:
@@ -172,7 +194,7 @@ def features(model: Model, matcher: Matcher, text: str | None) -> list[float]:
                         else:
                             misspelled += factor * max(model.misspelled[t] for d, t in whole)
                     else:
-                        stems += factor * max(model.strength[t] for t, _ in own)
+                        stems += factor * max(model.misspelled[t] if d else model.strength[t] for d, t in begun)
     log = math.log1p(stems)
     return [1.0, min(exact, 4.0), min(misspelled, 4.0), min(stems, 8.0), float(stems >= 2.5), min(10.0, 100 * stems / (n + 20)), log, log * math.log1p(n) / 5]
 
@@ -252,15 +274,22 @@ def learn(toxic: list[str], other: list[str], prior: float) -> Model:
             need[i] = max(0, need[i] - n)
     begun = tuple(t[:-1] for t in chosen if t.endswith("*")) or ("\0",)
     sure = [t for t in heap if not t.endswith("*") and t not in chosen and counts[t] >= max(12, least) and counts[t] > 40 * share * against[t]]
-    # a word that a chosen stem explains needs no entry of its own
+    # a word that a chosen stem explains needs no entry of its own, but where the stem is too short for edits
     chosen = [t for t in [*chosen, *sure][:TERMS] if t.endswith("*") or not t.startswith(begun)]
+    short = tuple(t[:-1] for t in chosen if t.endswith("*") and not allowed(t[:-1], True)) or ("\0",)
+    chosen += sorted(t for t in usable if not t.endswith("*") and t.startswith(short) and allowed(t, False) and t not in chosen)
     terms = [(t[:-1], True) if t.endswith("*") else (t, False) for t in chosen]
     logs = [math.log((counts[t] + 0.5) / (len(pos) + 1)) - math.log((against[t] + 0.5) / (len(neg) + 1)) for t in chosen]
     strength = [max(0.1, min(1.0, x / max(logs))) for x in logs]
     matcher = Matcher(terms)
-    # a neighbour that stands in other texts anyway is no misspelling
-    near = Counter(h for _, w in neg for h in {t for x in w for t, d in matcher.match(x) if d})
-    model = Model(terms, strength, [s * max(0.0, 1 - near[i] / (1 + 0.002 * len(neg))) for i, s in enumerate(strength)])
+    # a neighbour that stands in other texts anyway is no misspelling: of a word it weakens all, as they are few, of a
+    # stem only those that begin like it
+    near, others = Counter(), set()
+    for _, w in neg:
+        own = {(t, d, x) for x in w for t, d in matcher.match(x) if d}
+        near.update({t for t, _, _ in own if not terms[t][1]})
+        others |= {next(x[:k] for k in range(1, len(x) + 1) if (t, d) in matcher.match(x[:k])) for t, d, x in own if terms[t][1]}
+    model = Model(terms, strength, [s * max(0.0, 1 - near[i] / (1 + 0.002 * len(neg))) for i, s in enumerate(strength)], others=sorted(others))
     x = np.array([features(model, matcher, t) for t, _ in [*pos, *neg]])
     y = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
     # misspellings are rare among labelled texts: as if some toxic ones had each kind of hit alone
@@ -271,7 +300,7 @@ def learn(toxic: list[str], other: list[str], prior: float) -> Model:
     x, y = np.concatenate([x, np.repeat(extra, times, axis=0)]), np.concatenate([y, np.ones(2 * times)])
     coefficients = logistic(x, y)
     coefficients[0] += math.log(prior / (1 - prior)) - math.log(len(pos) / len(neg))
-    return Model(terms, model.strength, model.misspelled, coefficients.tolist())
+    return Model(terms, model.strength, model.misspelled, coefficients.tolist(), model.others)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -307,12 +336,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0], r[1]))
         model = learn([t for _, t, bad in got if bad], [t for _, t, bad in got if not bad], prior)
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([model.terms, model.strength, model.misspelled, model.coefficients])], pa.string())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([model.terms, model.strength, model.misspelled, model.coefficients, model.others])], pa.string())], ["model"])
 
     # the sample is learned from in one task, so that the driver needn't hold it
     found = rows.repartition(1).mapInArrow(run, "model string").collect()
-    terms, strength, misspelled, coefficients = json.loads(found[0]["model"]) if found else ([], [], [], learn([], [], prior).coefficients)
-    return Model([(t, stem) for t, stem in terms], strength, misspelled, coefficients)
+    terms, strength, misspelled, coefficients, others = json.loads(found[0]["model"]) if found else ([], [], [], learn([], [], prior).coefficients, [])
+    return Model([(t, stem) for t, stem in terms], strength, misspelled, coefficients, others)
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,3 +69,47 @@ def test_top_k_evaluates_each_of_many_copies_once():
             # few are asked for, ties go to the smallest ids
             got = [i for _, i, _ in topk.search(q, np.array([-1]), np.full((3000, 8), 3.0), ids, topk.pivots(rows[:500], 4), 5)]
             assert got == [0, 1, 2, 3, 4]
+
+
+def test_toxicity_catches_misspellings_inside_stems():
+    from riskweave.llm import toxicity
+
+    terms = [("rubbish", True), ("dreadfully", True), ("vile", True)]
+    m = toxicity.Matcher(terms)
+    assert dict(m.match("rubishness")) == dict(m.match("rubbixhest")) == dict(m.match("rubbissh")) == {0: 1}
+    assert dict(m.match("rubbishness")) == {0: 0} and dict(m.match("drxadfulyish")) == {1: 2}
+    assert m.match("rbbshness") == m.match("vyleness") == ()
+    # texts that share stems, with another ending each time
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnop")
+    word = lambda n: "".join(rng.choice(letters, n))
+    vocab = [word(6) for _ in range(400)]
+    def text(bad, stems):
+        w = list(rng.choice(vocab, 60))
+        for _ in range(bad):
+            w.insert(int(rng.integers(0, 60)), str(rng.choice(stems)) + word(3))
+        return " ".join(w)
+    stems = ["zuqxwish", "wrutzyvl"]
+    model = toxicity.learn([text(4, stems) for _ in range(120)], [text(0, stems) for _ in range(300)], 0.2)
+    assert all(any(s and t.startswith(x[:5]) for t, s in model.terms) for x in stems)
+    m = toxicity.Matcher(model.terms)
+    wrong = ["zuqxvish", "wruttzyvl"]
+    found = [toxicity.score(model, m, text(4, wrong)) >= 0.5 for _ in range(30)]
+    clean = [toxicity.score(model, m, text(0, wrong)) >= 0.5 for _ in range(30)]
+    assert sum(found) >= 28 and not any(clean)
+
+
+def test_toxicity_keeps_the_words_of_short_stems():
+    from riskweave.llm import toxicity
+
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    def text(bad):
+        w = list(rng.choice(vocab, 60))
+        for _ in range(bad):
+            w.insert(int(rng.integers(0, 60)), str(rng.choice([f"zuqx{e}" for e in ("tar", "tyr", "wem", "rin", "sov", "kul")])))
+        return " ".join(w)
+    model = toxicity.learn([text(4) for _ in range(120)], [text(0) for _ in range(300)], 0.2)
+    assert ("zuqx", True) in model.terms
+    m = toxicity.Matcher(model.terms)
+    assert any(d == 1 for _, d in m.match("zuxtar")) and all(model.terms[t][1] for t, d in m.match("zuqxtar") if d == 0 and t not in m.explained)
