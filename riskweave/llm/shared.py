@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ _roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder for staged tables: a child of ``spark.checkpoint.dir``, which executors and driver share.
 
-    Only where no such folder is configured (tests on one machine) a temporary one is set.
+    Only where no such folder is configured and all runs on one machine, as in tests, a temporary one is set.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="riskweave-")
             spark.sparkContext.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/riskweave-{app}"
@@ -58,7 +61,27 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, after their last use."""
+    for df in tables:
+        drop_path(df.sparkSession, df._staged_path)
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a finished phase go at once: each phase's result is a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -151,6 +174,13 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
     neighbour list is ever gathered; a hot centre is one side of an equi-join, which AQE can split. Each round is a
     staged table; the rounds grow with the logarithm of a component's diameter. Empty input gives an empty result.
     """
+    with clean_shuffles(edges.sparkSession):
+        edges = _stars(edges, tag)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+
+
+def _stars(edges: DataFrame, tag: str) -> DataFrame:
+    """The edges (u, v), staged, after rounds until all of them are stars around their smallest node v."""
     edges = stage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), tag)
     seen = None
     while True:
@@ -160,9 +190,10 @@ def connected(edges: DataFrame, tag: str = "cc") -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stage(small, tag)
+        after = stage(small, tag)
+        drop(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            return edges
         seen = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

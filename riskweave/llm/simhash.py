@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.shared import connected, slices, stage
+from riskweave.llm.shared import clean_shuffles, connected, drop, slices, stage
 
 BITS = 64
 SEED = 42
@@ -173,13 +173,16 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (left, right: fp) whose whole shingle sets are alike."""
+    """Those of ``pairs`` (left, right: fp) whose whole shingle sets are alike, staged."""
     asked = stage(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct().join(nodes, "fp").select("fp", "node"), "similar-asked")
     texts = plain.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "text")
     grams = stage(_shingle_sets(texts, size).join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "similar-grams")
     l, r = (grams.select(F.col("fp").alias(x), F.col("grams").alias(y)) for x, y in (("left", "l"), ("right", "r")))
     common = F.size(F.array_intersect("l", "r"))
-    return pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+    alike = pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+    out = stage(alike, "similar-alike")
+    drop(asked, grams)
+    return out
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,8 +191,15 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     All such links count, and no others: equal sets are one node; of other sets the pairs that share a shingle of their
     prefixes, rare shingles first, hold every pair that is alike, and are compared whole. The first text of each shingle
     is compared with its others first; then pairs of texts that aren't of one class yet, so that a large group of near
-    copies isn't compared pair by pair. Null ids have no class; rows with one id are one text.
+    copies isn't compared pair by pair. Null ids have no class; texts with one id are one node each, and the rows of an
+    id have their own text's class. A null text counts as empty, texts without words are equal sets, an empty table gives
+    an empty result. The result is staged; what it is made of is dropped.
     """
+    with clean_shuffles(docs.sparkSession):
+        return _classes(docs, size, similarity, id_col, text_col)
+
+
+def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     sketches = stage(_prefixes(plain, size, similarity, _counters(plain, size)), "similar")
     nodes = stage(sketches.groupBy("fp").agg(F.min("id").alias("node")), "similar-nodes")
@@ -201,11 +211,12 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
     c = F.col
     to_heads = stage(shared_tokens.where((c("fp") != c("head.fp")) & fits(c("n"), c("head.n"))).select(c("head.fp").alias("left"), c("fp").alias("right")).distinct(), "similar-heads")
-    alike = stage(_verified(plain, nodes, to_heads, size, similarity), "similar-alike")
+    alike = _verified(plain, nodes, to_heads, size, similarity)
     known = stage(connected(alike), "similar-known")
     members = shared_tokens.join(known.withColumnRenamed("id", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("part"))
     several = members.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
     members = stage(members.join(several, "token", "left_semi"), "similar-members")
+    drop(shared_tokens, known)
     a, b = (members.select("token", *(c(x).alias(f"{x}_{s}") for x in ("fp", "n", "part"))) for s in "ab")
     parts = members.select("token", "part").distinct()
     cross = parts.select("token", c("part").alias("part_a")).join(parts.select("token", c("part").alias("part_b")), "token").where("part_a < part_b")
@@ -213,19 +224,26 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     rest = found.select(F.least("fp_a", "fp_b").alias("left"), F.greatest("fp_a", "fp_b").alias("right")).distinct()
     tried = to_heads.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
     rest = stage(rest.join(tried, ["left", "right"], "left_anti"), "similar-rest")
-    final = connected(alike.unionByName(_verified(plain, nodes, rest, size, similarity)))
+    drop(members, to_heads)
+    more = _verified(plain, nodes, rest, size, similarity)
+    final = connected(alike.unionByName(more))
     grouped = nodes.join(final, nodes.fp == final.id, "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
     least = grouped.groupBy("group").agg(F.min("node").alias("component"))
     labels = grouped.join(least, "group").select("fp", "component")
-    return sketches.select("id", "fp").join(labels, "fp").select("id", "component")
+    out = stage(sketches.select("id", "fp").join(labels, "fp").select("id", "component"), "similar-classes")
+    drop(sketches, nodes, alike, rest, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their class (smallest id; of rows with that
     id all stay); rows without an id stay."""
     classes = similar(docs, size, similarity, id_col=id_col, text_col=text_col)
-    others = stage(classes.where("id <> component").select(F.col("id").alias("__id")).distinct(), "similar-others")
-    return docs.join(others, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    others = stage(classes.where("id <> component").select("id").distinct(), "similar-others")
+    drop(classes)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    own = F.col(names[docs.columns.index(id_col)]).cast("long")
+    return docs.toDF(*names).join(others, own == F.col("id"), "left_anti").toDF(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

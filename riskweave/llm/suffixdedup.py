@@ -22,14 +22,13 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.shared import Rolling, drop_path, shared_root, slices, stage
+from riskweave.llm.shared import Rolling, clean_shuffles, drop, drop_path, shared_root, slices, stage
 
 WINDOW = 100
 #: Difference covers modulo V (fixed values, from perfect difference sets).
@@ -318,18 +317,6 @@ def _to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["unit", "ids", "shas", "ends", "data"])
 
 
-@contextmanager
-def _clean_shuffles(spark: SparkSession):
-    """Shuffle files of a finished phase go at once: each phase's result is a written table."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(ids, results): ids has (id, sha, n_bytes) per row; results has per different text its first id, what is removed
     there (span_starts, span_ends: byte offsets) and, if wanted, the text kept where any byte is removed (characters cut
@@ -342,7 +329,7 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_
     last = F.lit((1 << 63) - 1)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    with _clean_shuffles(spark):
+    with clean_shuffles(spark):
         ids = stage(base.select("id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "suffix-ids")
         n_bytes = ids.agg(F.sum("n_bytes")).first()[0] or 0
         units = max(1, math.ceil(n_bytes / UNIT_BYTES))
@@ -366,7 +353,9 @@ def removals(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_
             firsts = stage(sent.groupBy("bucket").applyInArrow(_first_units(below, wide), REPLY), "suffix-firsts")
             both = samples.unionByName(firsts)
             done = left.cogroup(both.groupBy("unit")).applyInArrow(_removal(window, bits, below, wide, with_text), RESULT)
-            return ids, stage(done, "suffix-result")
+            result = stage(done, "suffix-result")
+            drop(samples, firsts)
+            return ids, result
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_path(spark, path)
@@ -376,13 +365,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """The rows of ``docs``, with all their columns, their texts without repeated windows; n_chars, if there, is counted
     anew. Rows of which no word is left go; those that had none from the start stay."""
     _, results = removals(docs, window, False, id_col, text_col)
-    r = results.where(F.col("n_bytes") >= window).select(F.col("sha").alias("__sha"), F.col("id").alias("__owner"), F.col("span_starts").alias("__starts"), F.col("span_ends").alias("__ends"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    last = F.lit((1 << 63) - 1)
-    joined = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(r, "__sha", "left")
-    copy = F.col("__owner").isNotNull() & (F.coalesce(F.col(id_col).cast("long"), last) != F.col("__owner"))
+    r = results.where(F.col("n_bytes") >= window).select("sha", F.col("id").alias("owner"), F.col("span_starts").alias("starts"), F.col("span_ends").alias("ends"))
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     place = docs.columns.index(text_col)
+    rows = docs.toDF(*names)
+    text = F.coalesce(F.col(names[place]).cast("string"), F.lit(""))
+    own = F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("long"), F.lit((1 << 63) - 1))
+    joined = rows.withColumn("sha", F.unhex(F.sha2(text.cast("binary"), 256))).join(r, "sha", "left")
+    copy = F.col("owner").isNotNull() & (own != F.col("owner"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, names[place]):
@@ -399,12 +389,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns[:-3], pa.array([bool(w or s) for w, s in zip(gone, starts)], pa.bool_())], [*names, "changed"]).filter(pa.array(keep, pa.bool_()))
 
-    flat = joined.select(*(F.col(f"`{c}`").cast("string" if i == place else t).alias(n) for i, (n, (c, t)) in enumerate(zip(names, docs.dtypes))), copy.alias("gone"), F.col("__starts").alias("starts"), F.col("__ends").alias("ends"))
+    flat = joined.select(*(F.col(n).cast("string" if i == place else t).alias(n) for i, (n, (_, t)) in enumerate(zip(names, docs.dtypes))), copy.alias("gone"), "starts", "ends")
     schema = ", ".join(f"{n} {'string' if i == place else t}" for i, (n, (_, t)) in enumerate(zip(names, docs.dtypes)))
-    out = flat.mapInArrow(run, schema + ", changed boolean").toDF(*docs.columns, "__changed")
+    out = flat.mapInArrow(run, schema + ", changed boolean")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length(text_col)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.col("changed"), F.length(names[place])).otherwise(F.col(n)).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -113,3 +113,19 @@ def test_toxicity_keeps_the_words_of_short_stems():
     assert ("zuqx", True) in model.terms
     m = toxicity.Matcher(model.terms)
     assert any(d == 1 for _, d in m.match("zuxtar")) and all(model.terms[t][1] for t, d in m.match("zuqxtar") if d == 0 and t not in m.explained)
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    from corpus import PASSAGE
+    from pyspark.sql import functions as F
+
+    from riskweave.llm import suffixdedup
+
+    names = ["__sha", "__id", "__row", "__changed", "sha", "owner", "starts", "ends", "gone", "changed", "c0", "c1", "left", "a.b"]
+    base = documents(spark, [PASSAGE + " one", " ".join(f"w{i}" for i in range(30)) + PASSAGE, "one two three four five six", "one two three four five six", None, ""], False)
+    df = base.select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for f, want in ((simhash.one_of_each, [0, 1, 2, 4]), (suffixdedup.without_repeats, [0, 1, 2, 3, 4, 5])):
+        got = f(df)
+        rows = sorted(got.collect(), key=lambda r: r["doc_id"])
+        assert got.columns == df.columns and [r["doc_id"] for r in rows] == want, f
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
