@@ -179,7 +179,7 @@ def _verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, s
     grams = stage(_shingle_sets(texts, size).join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "similar-grams")
     l, r = (grams.select(F.col("fp").alias(x), F.col("grams").alias(y)) for x, y in (("left", "l"), ("right", "r")))
     common = F.size(F.array_intersect("l", "r"))
-    alike = pairs.join(l, "left").join(r, "right").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+    alike = pairs.join(r, "right").join(l, "left").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9).select(F.col("left").alias("src"), F.col("right").alias("dst"))
     out = stage(alike, "similar-alike")
     drop(asked, grams)
     return out
@@ -189,9 +189,10 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str
     """(id, component): classes of texts linked by sets of ``size``-word shingles of at least that Jaccard similarity.
 
     All such links count, and no others: equal sets are one node; of other sets the pairs that share a shingle of their
-    prefixes, rare shingles first, hold every pair that is alike, and are compared whole. The first text of each shingle
-    is compared with its others first; then pairs of texts that aren't of one class yet, so that a large group of near
-    copies isn't compared pair by pair. Null ids have no class; texts with one id are one node each, and the rows of an
+    prefixes, rare shingles first, hold every pair that is alike, and are compared whole. Each text
+    is compared first with one that is some shingle's first text, then with the first texts of its other shingles that
+    aren't of its class yet, then with all others that aren't, so that a large group of near copies isn't compared pair
+    by pair. Null ids have no class; texts with one id are one node each, and the rows of an
     id have their own text's class. A null text counts as empty, texts without words are equal sets, an empty table gives
     an empty result. The result is staged; what it is made of is dropped.
     """
@@ -210,8 +211,19 @@ def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
     shared_tokens = stage(tokens.join(heads, "token"), "similar-tokens")
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
     c = F.col
-    to_heads = stage(shared_tokens.where((c("fp") != c("head.fp")) & fits(c("n"), c("head.n"))).select(c("head.fp").alias("left"), c("fp").alias("right")).distinct(), "similar-heads")
-    alike = _verified(plain, nodes, to_heads, size, similarity)
+    heads_of = shared_tokens.where((c("fp") != c("head.fp")) & fits(c("n"), c("head.n"))).groupBy(c("head.fp").alias("left"), c("fp").alias("right"))
+    to_heads = stage(heads_of.agg(F.count("*").alias("shared")), "similar-heads")
+    # the head that shares most of a set's prefix first, then heads of another class
+    best = stage(to_heads.groupBy("right").agg(F.max(F.struct("shared", "left")).alias("b")).select("b.left", "right"), "similar-best")
+    near = _verified(plain, nodes, best, size, similarity)
+    part = stage(connected(near), "similar-parts")
+    l, r = (part.select(c("id").alias(x), c("component").alias(f"part_{x}")) for x in ("left", "right"))
+    apart = to_heads.join(best, ["left", "right"], "left_anti").join(l, "left", "left").join(r, "right", "left").where(F.coalesce("part_left", "left") != F.coalesce("part_right", "right"))
+    apart = stage(apart.select("left", "right"), "similar-apart")
+    drop(part)
+    far = _verified(plain, nodes, apart, size, similarity)
+    drop(best, apart)
+    alike = near.unionByName(far)
     known = stage(connected(alike), "similar-known")
     members = shared_tokens.join(known.withColumnRenamed("id", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("part"))
     several = members.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
@@ -231,7 +243,7 @@ def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
     least = grouped.groupBy("group").agg(F.min("node").alias("component"))
     labels = grouped.join(least, "group").select("fp", "component")
     out = stage(sketches.select("id", "fp").join(labels, "fp").select("id", "component"), "similar-classes")
-    drop(sketches, nodes, alike, rest, more)
+    drop(sketches, nodes, near, far, rest, more)
     return out
 
 
