@@ -45,7 +45,7 @@ def _decay(t: DataFrame) -> DataFrame:
 
 def _ego(t: DataFrame) -> DataFrame:
     e = graphs.edges(t, HUB_CAP)
-    return graphs.ego_net(e, e.where(F.col("src").isin("c1", "c2", "c3")).select(F.col("src").alias("id")).distinct())
+    return graphs.ego_net(e, e.where(F.col("src").startswith("c")).select(F.col("src").alias("id")).distinct())
 
 
 def _obligations(t: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def _precedents(e: DataFrame) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = relational.table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    asked = relational.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return text.bm25(relational.table(spark, sf_dir, "documents"), asked)
 
 
@@ -100,7 +100,7 @@ def _merkle(t: DataFrame) -> DataFrame:
 
 def _bridges(t: DataFrame) -> DataFrame:
     e = graphs.edges(t, HUB_CAP)
-    return graphs.bridges(e, graphs.ego_net(e, e.where(F.col("src").isin("c1", "c2", "c3")).select(F.col("src").alias("id")).distinct()))
+    return graphs.bridges(e, graphs.ego_net(e, e.where(F.col("src").startswith("c")).select(F.col("src").alias("id")).distinct()))
 
 
 def _hybrid(t: DataFrame) -> DataFrame:

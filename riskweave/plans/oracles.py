@@ -141,7 +141,7 @@ ORACLE_SQL: dict[str, str] = {
     "pattern_match": q(PATTERN, "SELECT txn_id, card_testing, card_not_present_fraud, card_not_present_new_device, out_of_region_use, account_takeover, best, confidence FROM pm"),
     "case_history": q(CASES, "SELECT card, count(*) AS total, count(*) FILTER (outcome = 'confirmed_fraud') AS confirmed, count(*) FILTER (outcome = 'cleared') AS cleared, round(sum(exposure), 2) AS exposure FROM c GROUP BY card"),
     "case_subgraph": q(CASES, "rt AS (SELECT card, txn_id AS x FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY us DESC, txn_id DESC) AS r FROM t) WHERE r <= 5)", "pe AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS r FROM (SELECT c.case_id, c.device, x.card AS peer FROM c JOIN (SELECT DISTINCT card, device FROM t) x ON c.device = x.device AND x.card <> c.card))", "SELECT case_id, case_id AS src, 'INVESTIGATES' AS kind, card::VARCHAR AS dst FROM c UNION ALL SELECT case_id, customer::VARCHAR, 'OWNS', card::VARCHAR FROM c UNION ALL SELECT case_id, card::VARCHAR, 'USED', device FROM c UNION ALL SELECT case_id, card::VARCHAR, 'MADE', x::VARCHAR FROM c JOIN rt USING (card) UNION ALL SELECT case_id, peer::VARCHAR, 'SHARES', device FROM pe WHERE r <= 2"),
-    "ego_net": q(EDGES, "h0 AS (SELECT DISTINCT src AS seed, src AS node FROM e WHERE src IN ('c1', 'c2', 'c3'))", "h1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN e ON node = src)", "h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON node = src)", "SELECT seed, node, min(hop)::INTEGER AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node"),
+    "ego_net": q(EDGES, "h0 AS (SELECT DISTINCT src AS seed, src AS node FROM e WHERE src LIKE 'c%')", "h1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN e ON node = src)", "h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON node = src)", "SELECT seed, node, min(hop)::INTEGER AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node"),
     "communities": q(CASES, EDGES, _lpa(3), "cc AS (SELECT 'c' || card::VARCHAR AS id, count(*) AS n FROM c WHERE outcome = 'confirmed_fraud' GROUP BY card)", "SELECT label, count(*) AS n_nodes, count(*) FILTER (id LIKE 'c%') AS n_cards, coalesce(sum(n), 0)::BIGINT AS n_cases, round(CASE WHEN coalesce(sum(n), 0) > 0 THEN least(1.0::DOUBLE, 0.45::DOUBLE + 0.15::DOUBLE * sum(n)) ELSE 0 END, 4)::DOUBLE AS contagion FROM l3 LEFT JOIN cc USING (id) GROUP BY label"),
     "contagion": q(CASES, EDGES, _ppr(4), "SELECT src AS id, round(p, 8) AS score, CASE WHEN p >= 0.15 THEN 'CRITICAL' WHEN p >= 0.08 THEN 'HIGH' WHEN p >= 0.03 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r4"),
     "node_features": q(devices(60), "pp AS (SELECT DISTINCT a.card AS a, b.card AS b FROM d a JOIN d b ON a.device = b.device AND a.card < b.card)", "de AS (SELECT card, count(*) AS degree FROM (SELECT a AS card FROM pp UNION ALL SELECT b FROM pp) GROUP BY card)", "tr AS (SELECT x.a, x.b, y.b AS c3 FROM pp x JOIN pp y ON x.b = y.a JOIN pp z ON z.a = x.a AND z.b = y.b)", "tn AS (SELECT card, count(*) AS triangles FROM (SELECT a AS card FROM tr UNION ALL SELECT b FROM tr UNION ALL SELECT c3 FROM tr) GROUP BY card)", "SELECT card, coalesce(degree, 0) AS degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN coalesce(degree, 0) >= 2 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1))::DOUBLE ELSE 0 END, 6)::DOUBLE AS clustering, round(least(1, log10(greatest(1, most)) / 6), 6)::DOUBLE AS scale, round(risk, 6) AS risk, fraud FROM (SELECT card, max(amount) AS most, max(risk) AS risk, max(is_fraud::INTEGER)::BIGINT AS fraud FROM t GROUP BY card) LEFT JOIN de USING (card) LEFT JOIN tn USING (card)"),
@@ -198,7 +198,7 @@ ORACLE_SQL: dict[str, str] = {
     "stratified": q("s AS (SELECT txn_id, channel, (row_number() OVER (PARTITION BY channel ORDER BY md5('42:' || txn_id), txn_id))::INTEGER AS rank FROM t)", "SELECT * FROM s WHERE rank <= CASE channel WHEN 'online' THEN 84 WHEN 'in_person' THEN 16 ELSE 0 END"),
     "precedents": "WITH x AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM x) SELECT * FROM r WHERE rank <= 5",
     "tokens": f"SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS tokens FROM (SELECT item_id, {_tokens('text')} AS w FROM benchmark)",
-    "bm25": "WITH qs AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5),\n" + _bm25("documents", "qs") + "\nSELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm",
+    "bm25": "WITH qs AS (SELECT item_id AS query_id, text FROM benchmark),\n" + _bm25("documents", "qs") + "\nSELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm",
     "retrieval_quality": "WITH qs AS (SELECT item_id AS query_id, text FROM benchmark), b AS (SELECT item_id AS doc_id, text FROM benchmark),\n" + _bm25("b", "qs") + ",\nx AS (SELECT qs.query_id, bm.rank FROM qs LEFT JOIN bm ON bm.query_id = qs.query_id AND bm.doc_id = qs.query_id)\nSELECT round(avg(coalesce(1 / rank::DOUBLE, 0)), 6) AS mrr, round(avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS topk FROM x",
     "grounding": q(CASES, "SELECT case_id AS id, CASE WHEN card % 2 = 0 THEN 2 ELSE 1 END::INTEGER AS n_cited, CASE WHEN card % 2 = 0 THEN 1 ELSE 0 END::INTEGER AS n_unknown, CASE WHEN card % 2 = 0 THEN 0.75 ELSE 1 END::DOUBLE AS faithfulness FROM c"),
     "sanitise": r"SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')), 500) AS clean FROM conversations",
