@@ -71,11 +71,14 @@ def sharing_triangle(txn: DataFrame, hub_cap: int = 15) -> DataFrame:
 
 
 def motif_score(txn: DataFrame) -> DataFrame:
-    """Capped weighted sum of motif counts per card, its level and dominant motif (O-20)."""
+    """Capped weighted sum of the five motifs' counts per card, its level and dominant motif (O-20)."""
+    of_pairs = lambda df, name: df.select(F.explode(F.array("a", "b")).alias("card")).groupBy("card").agg(F.count("*").alias(name))
     counts = [
         (fan_out(txn).groupBy("card").agg(F.count("*").alias("n1")), 0.20, 0.40, "fan_out"),
         (txn.select("card", "merchant").distinct().join(fan_in(txn).select("merchant"), "merchant").groupBy("card").agg(F.count("*").alias("n2")), 0.25, 0.50, "fan_in"),
+        (of_pairs(bipartite_mesh(txn), "n3"), 0.30, 0.60, "bipartite_mesh"),
         (temporal_chain(txn).groupBy("card").agg(F.count("*").alias("n4")), 0.20, 0.40, "temporal_chain"),
+        (of_pairs(sharing_triangle(txn), "n5"), 0.25, 0.50, "sharing_triangle"),
     ]
     out = txn.select("card").distinct()
     parts = []

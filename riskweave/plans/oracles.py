@@ -151,7 +151,7 @@ ORACLE_SQL: dict[str, str] = {
     "bipartite_mesh": q(MESH, "SELECT a.card AS a, b.card AS b, count(DISTINCT a.merchant) AS n_shared FROM ac a JOIN ac b ON a.customer = b.customer AND a.merchant = b.merchant AND a.card < b.card GROUP BY a.card, b.card HAVING count(DISTINCT a.merchant) >= 2"),
     "temporal_chain": q(CHAIN, "SELECT * FROM ch"),
     "sharing_triangle": q(devices(15), "vi AS (SELECT DISTINCT card, merchant FROM t)", "pp AS (SELECT DISTINCT a.card AS a, b.card AS b FROM d a JOIN d b ON a.device = b.device AND a.card < b.card)", "SELECT a, b, count(*) AS n_merchants FROM pp JOIN vi x ON x.card = a JOIN vi y ON y.card = b AND y.merchant = x.merchant GROUP BY a, b"),
-    "motif_score": q(FAN, CHAIN, "mo AS (SELECT card, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM fo WHERE fo.card = x.card)) AS p1, least(0.5::DOUBLE, 0.25::DOUBLE * (SELECT count(DISTINCT merchant) FROM t WHERE t.card = x.card AND merchant IN (SELECT merchant FROM fi))) AS p2, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM ch WHERE ch.card = x.card)) AS p4 FROM (SELECT DISTINCT card FROM t) x)", "ms AS (SELECT *, round(least(1.0::DOUBLE, p1 + p2 + p4), 4) AS score, greatest(p1, p2, p4) AS b FROM mo)", "SELECT card, score, CASE WHEN score >= 0.7 THEN 'CRITICAL' WHEN score >= 0.4 THEN 'HIGH' WHEN score >= 0.2 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS level, CASE WHEN b > 0 THEN CASE b WHEN p1 THEN 'fan_out' WHEN p2 THEN 'fan_in' ELSE 'temporal_chain' END END AS dominant FROM ms"),
+    "motif_score": q(FAN, CHAIN, MESH, devices(15), "me AS (SELECT a.card AS a, b.card AS b FROM ac a JOIN ac b ON a.customer = b.customer AND a.merchant = b.merchant AND a.card < b.card GROUP BY a.card, b.card HAVING count(DISTINCT a.merchant) >= 2)", "mc AS (SELECT card, count(*) AS n FROM (SELECT unnest([a, b]) AS card FROM me) GROUP BY card)", "vi AS (SELECT DISTINCT card, merchant FROM t)", "pp AS (SELECT DISTINCT a.card AS a, b.card AS b FROM d a JOIN d b ON a.device = b.device AND a.card < b.card)", "tr AS (SELECT DISTINCT a, b FROM pp JOIN vi x ON x.card = a JOIN vi y ON y.card = b AND y.merchant = x.merchant)", "tc AS (SELECT card, count(*) AS n FROM (SELECT unnest([a, b]) AS card FROM tr) GROUP BY card)", "mo AS (SELECT card, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM fo WHERE fo.card = x.card)) AS p1, least(0.5::DOUBLE, 0.25::DOUBLE * (SELECT count(DISTINCT merchant) FROM t WHERE t.card = x.card AND merchant IN (SELECT merchant FROM fi))) AS p2, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM ch WHERE ch.card = x.card)) AS p4, least(0.6::DOUBLE, 0.3::DOUBLE * coalesce((SELECT n FROM mc WHERE mc.card = x.card), 0)) AS p3, least(0.5::DOUBLE, 0.25::DOUBLE * coalesce((SELECT n FROM tc WHERE tc.card = x.card), 0)) AS p5 FROM (SELECT DISTINCT card FROM t) x)", "ms AS (SELECT *, round(least(1.0::DOUBLE, p1 + p2 + p3 + p4 + p5), 4) AS score, greatest(p1, p2, p3, p4, p5) AS b FROM mo)", "SELECT card, score, CASE WHEN score >= 0.7 THEN 'CRITICAL' WHEN score >= 0.4 THEN 'HIGH' WHEN score >= 0.2 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS level, CASE WHEN b > 0 THEN CASE b WHEN p1 THEN 'fan_out' WHEN p2 THEN 'fan_in' WHEN p3 THEN 'bipartite_mesh' WHEN p4 THEN 'temporal_chain' ELSE 'sharing_triangle' END END AS dominant FROM ms"),
     "burst_cluster": q(f"b AS (SELECT x.txn_id, x.device, count(*) AS n, count(DISTINCT y.card) AS n_cards, round(sum(y.amount), 2) AS exposure, (count(*) FILTER (y.amount <= 5))::DOUBLE / count(*) AS m FROM t x JOIN t y ON x.device = y.device AND y.us BETWEEN x.us - {D} AND x.us GROUP BY x.txn_id, x.device)", "b2 AS (SELECT *, (n_cards >= 2 AND n >= 3) OR (n >= 4 AND m >= 0.5) AS is_burst FROM b)", "SELECT txn_id, device, n, n_cards, exposure, round(m, 4) AS micro, is_burst, CASE WHEN is_burst THEN round(least(0.98::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n_cards + 0.1::DOUBLE * m), 4) ELSE 0 END::DOUBLE AS confidence FROM b2"),
     "undocumented": q("u AS (SELECT device, count(DISTINCT card) AS n, count(DISTINCT customer) AS m, count(*) FILTER (proxy) AS p FROM t GROUP BY device)", "SELECT device, CASE WHEN n >= 2 AND p > 0 THEN 'A_PROXY_RING' ELSE 'B_DEVICE_FARM' END AS signature, round(CASE WHEN n >= 2 AND p > 0 THEN least(0.95::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n) ELSE least(0.92::DOUBLE, 0.65::DOUBLE + 0.05::DOUBLE * n) END, 4) AS confidence FROM u WHERE (n >= 2 AND p > 0) OR (n >= 3 AND m >= 3)"),
     "edge_decay": q(f"SELECT txn_id, {WEIGHT}::DOUBLE AS weight FROM t"),
