@@ -172,6 +172,22 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "fp long, grams array<long>")
 
 
+def _may_reach(shared: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles that share ``shared`` of their prefixes can be alike. Up to the prefix that ends
+    first in the order, what both have stands in both prefixes; beyond it that set has ceil(similarity n) - 1 more."""
+    behind = F.greatest(*(F.ceil(similarity * x - 1e-9) - 1 for x in (n, m)))
+    return shared + behind >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def _within_reach(firsts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (left, right: fp) whose prefixes leave it open that they are alike, staged: of the others only
+    a prefix each is moved. ``firsts`` has one row (fp, n, prefix) per fp."""
+    l, r = (firsts.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in ("left", "right"))
+    joined = pairs.join(r, "right").join(l, "left")
+    shared = F.size(F.array_intersect("p_left", "p_right"))
+    return stage(joined.where(_may_reach(shared, F.col("n_left"), F.col("n_right"), similarity)).select("left", "right"), "similar-reach")
+
+
 def _verified(plain: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (left, right: fp) whose whole shingle sets are alike, staged."""
     asked = stage(pairs.select(F.explode(F.array("left", "right")).alias("fp")).distinct().join(nodes, "fp").select("fp", "node"), "similar-asked")
@@ -215,14 +231,18 @@ def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
     to_heads = stage(heads_of.agg(F.count("*").alias("shared")), "similar-heads")
     # the head that shares most of a set's prefix first, then heads of another class
     best = stage(to_heads.groupBy("right").agg(F.max(F.struct("shared", "left")).alias("b")).select("b.left", "right"), "similar-best")
-    near = _verified(plain, nodes, best, size, similarity)
+    # of the prefixes, those of texts in a pair
+    asked = to_heads.select(F.explode(F.array("left", "right")).alias("fp")).distinct()
+    prefixes = stage(firsts.select("fp", "n", "prefix").join(asked, "fp", "left_semi"), "similar-prefixes")
+    first = _within_reach(prefixes, best, similarity)
+    near = _verified(plain, nodes, first, size, similarity)
     part = stage(connected(near), "similar-parts")
     l, r = (part.select(c("id").alias(x), c("component").alias(f"part_{x}")) for x in ("left", "right"))
     apart = to_heads.join(best, ["left", "right"], "left_anti").join(l, "left", "left").join(r, "right", "left").where(F.coalesce("part_left", "left") != F.coalesce("part_right", "right"))
-    apart = stage(apart.select("left", "right"), "similar-apart")
-    drop(part)
+    apart = _within_reach(prefixes, apart.select("left", "right"), similarity)
+    drop(part, prefixes)
     far = _verified(plain, nodes, apart, size, similarity)
-    drop(best, apart)
+    drop(best, first, apart)
     alike = near.unionByName(far)
     known = stage(connected(alike), "similar-known")
     members = shared_tokens.join(known.withColumnRenamed("id", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("part"))
@@ -233,7 +253,9 @@ def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
     parts = members.select("token", "part").distinct()
     cross = parts.select("token", c("part").alias("part_a")).join(parts.select("token", c("part").alias("part_b")), "token").where("part_a < part_b")
     found = cross.join(a, ["token", "part_a"]).join(b, ["token", "part_b"]).where(fits(c("n_a"), c("n_b")))
-    rest = found.select(F.least("fp_a", "fp_b").alias("left"), F.greatest("fp_a", "fp_b").alias("right")).distinct()
+    # sets of two classes meet at every shingle that both prefixes have
+    once = found.groupBy(F.least("fp_a", "fp_b").alias("left"), F.greatest("fp_a", "fp_b").alias("right")).agg(F.count("*").alias("shared"), F.any_value(F.struct("n_a", "n_b")).alias("n"))
+    rest = once.where(_may_reach(c("shared"), c("n.n_a"), c("n.n_b"), similarity)).select("left", "right")
     tried = to_heads.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
     rest = stage(rest.join(tried, ["left", "right"], "left_anti"), "similar-rest")
     drop(members, to_heads)
