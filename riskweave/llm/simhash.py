@@ -121,23 +121,40 @@ def _grams(text: str | None, size: int) -> np.ndarray:
 
 
 def _counters(docs: DataFrame, size: int) -> np.ndarray:
-    """How many texts of ``docs`` (id, text) have a shingle, by its hash's upper bits. What is collected is bounded by
-    the number of counters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of ``docs`` (id, text) have a shingle, by its hash's upper bits. A task sends its counters as
+    blocks of bytes, which are added up as they come; what is collected is bounded by the number of counters."""
+    per_block = 1 << 8
+
+    def rows_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        blocks = total.reshape(-1, per_block)
+        used = np.nonzero(blocks.any(axis=1))[0]
+        for i in range(0, len(used), 1 << 10):
+            part = used[i : i + (1 << 10)]
+            raw = [x.astype(np.uint8 if x.max() < 1 << 8 else np.int64).tobytes() for x in blocks[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(raw, pa.binary())], ["block", "counts"])
+
+    def add(batch: pa.RecordBatch | pa.Table, total: np.ndarray) -> None:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            total[block * per_block : (block + 1) * per_block] += np.frombuffer(raw, np.uint8 if len(raw) == per_block else np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTERS_BITS, np.int64)
         for b in slices(batches, "text"):
             for x in b.column(1).to_pylist():
                 # different shingles of one text may share a counter
                 np.add.at(total, (_grams(x, size) >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), 1)
-        at = np.nonzero(total)[0]
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["at", "n"])
+        yield from rows_of(total)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS_BITS, np.int64)
+        for b in batches:
+            add(b, total)
+        yield from rows_of(total)
 
-    got = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    schema = "block long, counts binary"
+    got = docs.mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema).toArrow()
     out = np.zeros(1 << COUNTERS_BITS, np.int64)
-    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    add(got, out)
     return out
 
 
