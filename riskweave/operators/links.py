@@ -1,4 +1,4 @@
-"""Shared devices, rings, precedents, syndicates and nexuses: equi-joins on shared keys, hubs left out by a cap."""
+"""Shared devices, rings, precedents, syndicates and nexuses: equi-joins on shared keys."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.canonical import as_of, cases
 
-HUB_CAP = 15
-
 
 def card_devices(txn: DataFrame, hub_cap: int | None = None) -> DataFrame:
     """Distinct (card, device); devices with more cards than the cap are generic and left out before any join."""
@@ -27,17 +25,23 @@ def device_sharing(txn: DataFrame, when: str | None = None) -> DataFrame:
     return out.join(touched, "device", "left").withColumn("n_cases", F.coalesce("n_cases", F.lit(0))).withColumn("is_shared", F.col("n_cards") > 1)
 
 
-def identity_links(txn: DataFrame, hub_cap: int = HUB_CAP) -> DataFrame:
-    """Pairs of cards that share a device, with the number of devices (O-5)."""
-    d = card_devices(txn, hub_cap)
-    a, b = d.select("device", F.col("card").alias("seed")), d.select("device", F.col("card").alias("other"))
-    return a.join(b, "device").where("seed <> other").groupBy("seed", "other").agg(F.count("*").alias("n_devices"))
+def identity_links(txn: DataFrame, most: int = 15) -> DataFrame:
+    """Each card's first other cards on its devices, with the number of devices that they share (O-5).
+
+    No device is too large: the cards that come first among all of a card's links are, on each device that they share,
+    among its first ``most`` + 1, so only those are joined and no device's cards are paired with each other.
+    """
+    d = card_devices(txn)
+    first = F.row_number().over(Window.partitionBy("device").orderBy("card"))
+    heads = d.withColumn("r", first).where(F.col("r") <= most + 1).select("device", F.col("card").alias("other"))
+    pairs = d.select("device", F.col("card").alias("seed")).join(heads, "device").where("seed <> other").groupBy("seed", "other").agg(F.count("*").alias("n_devices"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("other"))
+    return pairs.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
 
-def ring_detection(txn: DataFrame, hub_cap: int = HUB_CAP, most: int = 15) -> DataFrame:
+def ring_detection(txn: DataFrame, most: int = 15) -> DataFrame:
     """Rings: a seed with two linked cards at least and a confirmed precedent among them (O-6)."""
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("other"))
-    linked = identity_links(txn, hub_cap).withColumn("r", rank).where(F.col("r") <= most).select("seed", "other")
+    linked = identity_links(txn, most).select("seed", "other")
     members = linked.unionByName(linked.select("seed").distinct().withColumn("other", F.col("seed")))
     fraud = cases(txn).where("outcome = 'confirmed_fraud'").groupBy("card").agg(F.count("*").alias("n"))
     out = members.join(fraud, members.other == fraud.card, "left").groupBy("seed").agg((F.count("*") - 1).alias("n_linked"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_precedents"))
@@ -83,9 +87,9 @@ def syndicate_merchants(txn: DataFrame) -> DataFrame:
     return out.where("n_cards >= 2").withColumn("score", F.round(score, 4))
 
 
-def card_syndicates(txn: DataFrame, hub_cap: int = HUB_CAP) -> DataFrame:
-    """Merchants that a card shares with its device peers (O-33)."""
-    pairs = identity_links(txn, hub_cap).select("seed", "other")
+def card_syndicates(txn: DataFrame, most: int = 15) -> DataFrame:
+    """Merchants that a card shares with its first device peers (O-33)."""
+    pairs = identity_links(txn, most).select("seed", "other")
     visits = txn.select("card", "merchant").distinct()
     a, b = visits.select(F.col("card").alias("seed"), "merchant"), visits.select(F.col("card").alias("other"), "merchant")
     shared = pairs.join(a, "seed").join(b, ["other", "merchant"])

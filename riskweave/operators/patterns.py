@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.canonical import DAY, HOUR, by, timed
+from riskweave.operators.profile import fresh
 
 
-def pattern_match(txn: DataFrame, window: int = DAY, tiny: float = 5.0, least: float = 20.0) -> DataFrame:
-    """Five signatures with confidences per transaction; the best one, ties to the earlier (O-11)."""
+def pattern_match(txn: DataFrame, window: int = HOUR, tiny: float = 5.0, least: float = 20.0) -> DataFrame:
+    """Five signatures per transaction, each with its confidence and whether it matches; the best one, ties to the
+    earlier (O-11). A match may have a low confidence (a proxy alone), and a confidence no match."""
     w = timed("card")
     online = F.col("channel") == "online"
     small = F.count_if(online & (F.col("amount") < tiny)).over(w.rangeBetween(-window, 0)) - F.when(online & (F.col("amount") < tiny), 1).otherwise(0)
     past = w.rangeBetween(Window.unboundedPreceding, -1)
-    def fresh(column: str) -> Column:
-        return F.col("us") == F.min("us").over(Window.partitionBy("customer", column))
     t = txn.select(
         "txn_id", "card", "amount", online.alias("online"), small.alias("small"), F.count_if(online).over(w.rangeBetween(-2 * DAY, 0)).alias("recent"), F.max("amount").over(past).alias("most"), F.count("*").over(past).alias("n_before"),
         fresh("device").alias("nd"), fresh("region").alias("nr"), fresh("email").alias("ne"), "flag_new", "proxy",
     )
     c = F.col
-    testing = F.when((c("small") >= 3) & (c("amount") > least), 0.85).when(c("small") >= 2, 0.5).otherwise(0.0)
-    absent = F.when(c("online") & (c("recent") >= 2), 0.70).when(c("online"), 0.5).otherwise(0.1)
-    device = F.when(c("online") & (c("nd") | c("flag_new")), 0.80).otherwise(0.1)
-    region = F.when(~c("online") & c("nr"), 0.75).otherwise(0.1)
-    takeover = F.when(c("nd") & c("ne"), 0.75).otherwise(0.15)
-    names = ["card_testing", "card_not_present_fraud", "card_not_present_new_device", "out_of_region_use", "account_takeover"]
-    out = t.select("txn_id", *(x.cast("double").alias(n) for x, n in zip((testing, absent, device, region, takeover), names)))
+    no = F.lit(False)
+    unusual = (c("n_before") > 3) & F.coalesce(c("amount") > 1.5 * c("most"), no)
+    signatures = {
+        "card_testing": ((c("small") >= 3) & (c("amount") > least), F.when((c("small") >= 3) & (c("amount") > least), 0.85).when(c("small") >= 2, 0.5).otherwise(0.0)),
+        "card_not_present_fraud": (c("online") & ((c("recent") >= 2) | unusual), F.when(c("online") & (c("recent") >= 2), 0.70).when(c("online"), 0.5).otherwise(0.1)),
+        "card_not_present_new_device": (c("online") & (c("nd") | c("flag_new") | c("proxy")), F.when(c("online") & (c("nd") | c("flag_new")), 0.80).otherwise(0.1)),
+        "out_of_region_use": (~c("online") & c("nr"), F.when(~c("online") & c("nr"), 0.75).otherwise(0.1)),
+        "account_takeover": (c("nd") & c("ne") & c("online"), F.when(c("nd") & c("ne"), 0.75).otherwise(0.15)),
+    }
+    names = list(signatures)
+    out = t.select("txn_id", *(x.cast("double").alias(n) for n, (_, x) in signatures.items()), *(F.coalesce(m, no).alias(f"{n}_match") for n, (m, _) in signatures.items()))
     best = F.greatest(*names)
     pick = F.lit(names[-1])
     for n in reversed(names[:-1]):
@@ -96,22 +100,55 @@ def motif_score(txn: DataFrame) -> DataFrame:
 
 
 def burst_cluster(txn: DataFrame, hours: int = 24) -> DataFrame:
-    """Bursts per transaction on its device: cards, exposure, small amounts and regular gaps in the window before (O-21)."""
-    w = Window.partitionBy("device").orderBy("us").rangeBetween(-hours * HOUR, 0)
-    gap = (F.col("us") - F.lag("us").over(by("device"))) / 1e6
-    t = txn.withColumn("gap", gap)
-    t = t.select("txn_id", "device", F.count("*").over(w).alias("n"), F.size(F.collect_set("card").over(w)).cast("long").alias("n_cards"), F.round(F.sum("amount").over(w), 2).alias("exposure"), (F.count_if(F.col("amount") <= 5).over(w) / F.count("*").over(w)).alias("micro"))
+    """Bursts per transaction on its device, or on its card without one: cards, customers, exposure, small amounts and
+    the gaps within the window before it; gaps of one rhythm are a bot's (O-21)."""
     c = F.col
-    burst = ((c("n_cards") >= 2) & (c("n") >= 3)) | ((c("n") >= 4) & (c("micro") >= 0.5))
-    return t.withColumn("is_burst", burst).withColumn("confidence", F.when(burst, F.round(F.least(F.lit(0.98), 0.70 + 0.05 * c("n_cards") + 0.10 * c("micro")), 4)).otherwise(0.0)).withColumn("micro", F.round("micro", 4))
+    t = txn.withColumn("key", F.coalesce(F.nullif(c("device"), F.lit("")), F.concat(F.lit("card:"), c("card").cast("string"))))
+    t = t.withColumn("gap", (c("us") - F.lag("us").over(by("key"))).cast("decimal(18,0)"))
+    w = Window.partitionBy("key").orderBy("us").rangeBetween(-hours * HOUR, 0)
+    several = lambda x: F.size(F.collect_set(x).over(w)).cast("long")
+    # the first one's gap leads out of the window; integers, as it may exceed all others
+    outside = F.coalesce(F.min(F.struct("us", "txn_id", "gap")).over(w)["gap"], F.lit(0).cast("decimal(18,0)"))
+    squares = F.coalesce(F.sum(c("gap") * c("gap")).over(w), F.lit(0).cast("decimal(38,0)")) - outside * outside
+    span = (c("us") - F.min("us").over(w)).cast("decimal(18,0)")
+    t = t.select("txn_id", "device", F.count("*").over(w).alias("n"), several("card").alias("n_cards"), several("customer").alias("n_customers"), F.round(F.sum("amount").over(w), 2).alias("exposure"), (F.count_if(c("amount") <= 5).over(w) / F.count("*").over(w)).alias("micro"), span.alias("span"), squares.alias("squares"))
+    m = c("n") - 1
+    mean = F.when(m > 0, F.round(c("span").cast("double") / m / 1e6, 3)).otherwise(0.0)
+    std = F.when(m > 0, F.round(F.sqrt((m.cast("decimal(10,0)") * c("squares") - c("span") * c("span")).cast("double")) / m / 1e6, 3)).otherwise(0.0)
+    bot = (c("n") >= 3) & (std > 0) & (std <= 120)
+    burst = ((c("n_cards") >= 2) & (c("n") >= 3) & F.lit(hours <= 24)) | ((c("n_cards") >= 3) & (c("n") >= 3)) | ((c("n") >= 4) & (c("micro") >= 0.5))
+    confidence = F.when(burst, F.round(F.least(F.lit(0.98), 0.70 + 0.05 * c("n_cards") + 0.10 * c("micro")), 4)).otherwise(0.0)
+    return t.select("txn_id", "device", "n", "n_cards", "n_customers", "exposure", F.round("micro", 4).alias("micro"), mean.alias("mean_gap"), std.alias("std_gap"), bot.alias("is_bot"), burst.alias("is_burst"), confidence.alias("confidence"))
 
 
 def undocumented(txn: DataFrame) -> DataFrame:
-    """First signature in priority that a device's use shows (O-22): proxies, many owners, or sudden velocity."""
-    d = txn.groupBy("device").agg(F.countDistinct("card").alias("n"), F.countDistinct("customer").alias("m"), F.count_if("proxy").alias("proxies"))
-    name = F.when((F.col("n") >= 2) & (F.col("proxies") > 0), "A_PROXY_RING").when((F.col("n") >= 3) & (F.col("m") >= 3), "B_DEVICE_FARM")
-    confidence = F.when((F.col("n") >= 2) & (F.col("proxies") > 0), F.least(F.lit(0.95), 0.70 + 0.05 * F.col("n"))).when((F.col("n") >= 3) & (F.col("m") >= 3), F.least(F.lit(0.92), 0.65 + 0.05 * F.col("n")))
-    return d.select("device", name.alias("signature"), F.round(confidence, 4).alias("confidence")).where("signature is not null")
+    """First signature in priority that a transaction shows at its time (O-22): a proxy on a shared device, a device of
+    many owners, a spike on a shared device, several impossible movements. Without a device none is shared."""
+    c = F.col
+    known = c("device").isNotNull() & (c("device") != "")
+    first = lambda x: F.when(F.row_number().over(Window.partitionBy("device", x).orderBy("us", "txn_id")) == 1, 1).otherwise(0)
+    card, before = timed("card"), by("card").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(c("channel") == "in_person", F.struct("region", "us")), ignorenulls=True).over(before)
+    t = txn.withColumn("fc", first("card")).withColumn("fm", first("customer")).withColumn("last", last)
+    gap = c("us") - c("last.us")
+    t = t.withColumn("hop", (c("channel") == "in_person") & (c("region") != c("last.region")) & (gap > 0) & (gap < 2 * HOUR))
+    upto = timed("device").rangeBetween(Window.unboundedPreceding, 0)
+    hour, week = (F.count("*").over(card.rangeBetween(-x, 0)) for x in (HOUR, 7 * DAY))
+    t = t.select(
+        "txn_id", "device", "proxy", *(F.when(known, F.sum(x).over(upto)).otherwise(1).alias(y) for x, y in (("fc", "n"), ("fm", "m"))),
+        F.round(hour / (week / 168.0 + 0.05), 2).alias("spike"), F.count_if("hop").over(card.rangeBetween(Window.unboundedPreceding, 0)).alias("hops"),
+    )
+    n = c("n")
+    rules = [
+        ("proxy_rotation_syndicate", (n >= 2) & c("proxy"), F.least(F.lit(0.95), 0.70 + 0.05 * n)),
+        ("device_pooling_nexus", (n >= 3) & (c("m") >= 3), F.least(F.lit(0.92), 0.65 + 0.05 * n)),
+        ("coordinated_burst_nexus", (n >= 2) & (c("spike") >= 3), F.lit(0.85)),
+        ("impossible_geo_dispersion", c("hops") >= 2, F.lit(0.80)),
+    ]
+    name, confidence = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for x, rule, value in reversed(rules):
+        name, confidence = F.when(rule, x).otherwise(name), F.when(rule, value).otherwise(confidence)
+    return t.select("txn_id", "device", name.alias("signature"), F.round(confidence, 2).alias("confidence")).where("signature is not null")
 
 
 def decay_weight(age_us: Column, is_fraud: Column, risk: Column, half_life_days: float = 30.0) -> Column:

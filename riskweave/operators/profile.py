@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.canonical import DAY, HOUR, as_of, by, cases, timed
@@ -56,10 +56,15 @@ def velocity_at(txn: DataFrame, when: str) -> DataFrame:
     return t.groupBy("card").agg(*(F.count_if(inside[n]).alias(f"n_{n}") for n, _ in spans), *(F.round(F.coalesce(F.sum(F.when(inside[n], F.col("amount"))), F.lit(0.0)), 2).alias(f"sum_{n}") for n, _ in spans))
 
 
+def fresh(column: str) -> Column:
+    """Whether a transaction's value is unseen among its customer's earlier ones: an absent (null or empty) device is
+    always new, an absent region or email never is."""
+    absent = F.col(column).isNull() | (F.col(column).cast("string") == "")
+    return F.when(absent, F.lit(column == "device")).otherwise(F.col("us") == F.min("us").over(Window.partitionBy("customer", column)))
+
+
 def new_entity_check(txn: DataFrame) -> DataFrame:
     """Device, region and email unseen among the customer's earlier transactions (O-7)."""
-    def fresh(column: str):
-        return F.col("us") == F.min("us").over(Window.partitionBy("customer", column))
     return txn.select("txn_id", "customer", fresh("device").alias("new_device"), fresh("region").alias("new_region"), fresh("email").alias("new_email"), F.col("flag_new").alias("identity_flag_new"), F.col("proxy").alias("proxy_flag"))
 
 

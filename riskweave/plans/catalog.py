@@ -135,8 +135,8 @@ QUERIES: dict[str, Query] = {
     "velocity": _on(profile.velocity),
     "velocity_at": _on(profile.velocity_at, AS_OF),
     "device_sharing": _on(links.device_sharing),
-    "identity_links": _on(links.identity_links, HUB_CAP),
-    "ring_detection": _on(links.ring_detection, HUB_CAP),
+    "identity_links": _on(links.identity_links),
+    "ring_detection": _on(links.ring_detection),
     "new_entity_check": _on(profile.new_entity_check),
     "geo_impossible": _on(profile.geo_impossible),
     "money_flow_trace": _on(profile.money_flow_trace),
@@ -162,7 +162,7 @@ QUERIES: dict[str, Query] = {
     "prune_stats": _on(patterns.prune_stats, AS_OF),
     "playback": _on(profile.playback),
     "syndicate_merchants": _on(links.syndicate_merchants),
-    "card_syndicates": _on(links.card_syndicates, HUB_CAP),
+    "card_syndicates": _on(links.card_syndicates),
     "nexus": _on(links.nexus),
     "cross_case_links": _on(links.cross_case_links),
     "shared_infrastructure": _on(links.shared_infrastructure),

@@ -43,13 +43,17 @@ ru AS (SELECT antecedent, count(*) FILTER (outcome = 'confirmed_fraud') AS suppo
 rules AS (SELECT antecedent, support, round(conf, 6) AS confidence, round(conf / (SELECT (count(*) FILTER (outcome = 'confirmed_fraud'))::DOUBLE / count(*) FROM f), 6) AS lift
  FROM ru WHERE support >= 10 AND conf >= 0.6 ORDER BY confidence DESC, support DESC, antecedent LIMIT 20)"""
 PATTERN = f"""pa AS (SELECT *, channel = 'online' AS o,
- count(*) FILTER (channel = 'online' AND amount < 5) OVER (PARTITION BY card ORDER BY us RANGE BETWEEN {D} PRECEDING AND CURRENT ROW) - CASE WHEN channel = 'online' AND amount < 5 THEN 1 ELSE 0 END AS small,
+ count(*) FILTER (channel = 'online' AND amount < 5) OVER (PARTITION BY card ORDER BY us RANGE BETWEEN {H} PRECEDING AND CURRENT ROW) - CASE WHEN channel = 'online' AND amount < 5 THEN 1 ELSE 0 END AS small,
  count(*) FILTER (channel = 'online') OVER (PARTITION BY card ORDER BY us RANGE BETWEEN {2 * D} PRECEDING AND CURRENT ROW) AS recent,
- us = min(us) OVER (PARTITION BY customer, device) AS nd, us = min(us) OVER (PARTITION BY customer, region) AS nr, us = min(us) OVER (PARTITION BY customer, email) AS ne FROM t),
+ max(amount) OVER before AS most, count(*) OVER before AS n_before,
+ us = min(us) OVER (PARTITION BY customer, device) AS nd, us = min(us) OVER (PARTITION BY customer, region) AS nr, us = min(us) OVER (PARTITION BY customer, email) AS ne
+ FROM t WINDOW before AS (PARTITION BY card ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 pb AS (SELECT txn_id, (CASE WHEN small >= 3 AND amount > 20 THEN 0.85 WHEN small >= 2 THEN 0.5 ELSE 0 END)::DOUBLE AS card_testing,
  (CASE WHEN o AND recent >= 2 THEN 0.7 WHEN o THEN 0.5 ELSE 0.1 END)::DOUBLE AS card_not_present_fraud,
  (CASE WHEN o AND (nd OR flag_new) THEN 0.8 ELSE 0.1 END)::DOUBLE AS card_not_present_new_device,
- (CASE WHEN NOT o AND nr THEN 0.75 ELSE 0.1 END)::DOUBLE AS out_of_region_use, (CASE WHEN nd AND ne THEN 0.75 ELSE 0.15 END)::DOUBLE AS account_takeover FROM pa),
+ (CASE WHEN NOT o AND nr THEN 0.75 ELSE 0.1 END)::DOUBLE AS out_of_region_use, (CASE WHEN nd AND ne THEN 0.75 ELSE 0.15 END)::DOUBLE AS account_takeover,
+ small >= 3 AND amount > 20 AS card_testing_match, o AND (recent >= 2 OR (n_before > 3 AND coalesce(amount > 1.5::DOUBLE * most, false))) AS card_not_present_fraud_match,
+ o AND (nd OR flag_new OR proxy) AS card_not_present_new_device_match, NOT o AND nr AS out_of_region_use_match, nd AND ne AND o AS account_takeover_match FROM pa),
 pc AS (SELECT *, greatest(card_testing, card_not_present_fraud, card_not_present_new_device, out_of_region_use, account_takeover) AS confidence FROM pb),
 pm AS (SELECT *, CASE confidence WHEN card_testing THEN 'card_testing' WHEN card_not_present_fraud THEN 'card_not_present_fraud' WHEN card_not_present_new_device THEN 'card_not_present_new_device' WHEN out_of_region_use THEN 'out_of_region_use' ELSE 'account_takeover' END AS best FROM pc)"""
 
@@ -118,7 +122,7 @@ ch1 AS (SELECT *, sum(brk) OVER (PARTITION BY card ORDER BY us, txn_id ROWS UNBO
 ch AS (SELECT card, count(*) AS n, min(us) AS begin_us, max(us) AS end_us, round(sum(amount), 2) AS total FROM ch1 GROUP BY card, chain HAVING count(*) >= 3)"""
 FAN = """fo AS (SELECT card, count(DISTINCT merchant) AS n_merchants, round(sum(amount), 2) AS total FROM t GROUP BY card HAVING count(DISTINCT merchant) >= 4),
 fi AS (SELECT merchant, count(DISTINCT card) AS n_cards, round(sum(amount), 2) AS total FROM t GROUP BY merchant HAVING count(DISTINCT card) >= 3)"""
-LINKS = "li AS (SELECT a.card AS seed, b.card AS other, count(*) AS n_devices FROM d a JOIN d b ON a.device = b.device AND a.card <> b.card GROUP BY a.card, b.card)"
+LINKS = "dc AS (SELECT DISTINCT card, device FROM t), la AS (SELECT a.card AS seed, b.card AS other, count(*) AS n_devices FROM dc a JOIN dc b ON a.device = b.device AND a.card <> b.card GROUP BY a.card, b.card), li AS (SELECT * FROM la QUALIFY row_number() OVER (PARTITION BY seed ORDER BY other) <= 15)"
 NEXUS = "dn AS (SELECT device, count(DISTINCT card) AS n FROM t GROUP BY device), nx AS (SELECT * FROM (SELECT a.device AS device_a, b.device AS device_b, round(jaro_winkler_similarity(a.device, b.device), 4) AS similarity, a.n + b.n AS n_cards FROM dn a JOIN dn b ON split_part(a.device, '|', 1) = split_part(b.device, '|', 1) AND a.device < b.device) WHERE similarity >= 0.97)"
 SPIKE = "sp AS (SELECT * FROM (SELECT txn_id, card, count(*) OVER w AS n, round(sum(amount) OVER w, 4) AS total FROM t WINDOW w AS (PARTITION BY card ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)) WHERE n >= 3 OR total >= 300)"
 NOVEL = "nv AS (SELECT txn_id, device, card, n_before FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY us, txn_id) - 1 AS n_before FROM (SELECT device, card, min(us) AS us, arg_min(txn_id, (us, txn_id)) AS txn_id FROM t GROUP BY device, card)) WHERE n_before > 0)"
@@ -132,13 +136,13 @@ ORACLE_SQL: dict[str, str] = {
     "velocity": q(VELOCITY, "SELECT * FROM vs"),
     "velocity_at": q("SELECT card, " + ", ".join(f"count(*) FILTER (us >= {AT} - {s}) AS n_{n}, round(coalesce(sum(amount) FILTER (us >= {AT} - {s}), 0), 2) AS sum_{n}" for n, s in (("5m", H // 12), ("1h", H), ("24h", D), ("7d", 7 * D))) + f" FROM t WHERE ts <= {AS_OF} AND us >= {AT} - {7 * D} GROUP BY card"),
     "device_sharing": q(CASES, "SELECT device, count(DISTINCT card) AS n_cards, count(DISTINCT customer) AS n_customers, count(*) AS n_txns, min(us) AS first_us, max(us) AS last_us, array_to_string(list_slice(list_sort(list(DISTINCT card)), 1, 10), ',') AS cards, coalesce((SELECT count(*) FROM c WHERE c.device = t.device), 0) AS n_cases, count(DISTINCT card) > 1 AS is_shared FROM t GROUP BY device"),
-    "identity_links": q(devices(60), LINKS, "SELECT * FROM li"),
-    "ring_detection": q(CASES, devices(60), LINKS, "lr AS (SELECT seed, other FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY other) AS r FROM li) WHERE r <= 15)", "me AS (SELECT * FROM lr UNION ALL SELECT DISTINCT seed, seed FROM lr)", "fr AS (SELECT card, count(*) AS n FROM c WHERE outcome = 'confirmed_fraud' GROUP BY card)", "SELECT seed, count(*) - 1 AS n_linked, coalesce(sum(n), 0)::BIGINT AS n_precedents, count(*) - 1 >= 2 AND coalesce(sum(n), 0) >= 1 AS is_ring, least(1, count(*) / 5.0::DOUBLE)::DOUBLE AS density FROM me LEFT JOIN fr ON other = card GROUP BY seed"),
+    "identity_links": q(LINKS, "SELECT * FROM li"),
+    "ring_detection": q(CASES, LINKS, "lr AS (SELECT seed, other FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY other) AS r FROM li) WHERE r <= 15)", "me AS (SELECT * FROM lr UNION ALL SELECT DISTINCT seed, seed FROM lr)", "fr AS (SELECT card, count(*) AS n FROM c WHERE outcome = 'confirmed_fraud' GROUP BY card)", "SELECT seed, count(*) - 1 AS n_linked, coalesce(sum(n), 0)::BIGINT AS n_precedents, count(*) - 1 >= 2 AND coalesce(sum(n), 0) >= 1 AS is_ring, least(1, count(*) / 5.0::DOUBLE)::DOUBLE AS density FROM me LEFT JOIN fr ON other = card GROUP BY seed"),
     "new_entity_check": q("SELECT txn_id, customer, us = min(us) OVER (PARTITION BY customer, device) AS new_device, us = min(us) OVER (PARTITION BY customer, region) AS new_region, us = min(us) OVER (PARTITION BY customer, email) AS new_email, flag_new AS identity_flag_new, proxy AS proxy_flag FROM t"),
     "geo_impossible": q(GEO, "SELECT * FROM geo"),
     "money_flow_trace": q("m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY us DESC, txn_id DESC) AS back FROM t) WHERE back <= 10)", "SELECT card, txn_id, (row_number() OVER (PARTITION BY card ORDER BY us, txn_id))::INTEGER AS step, amount, round(sum(amount) OVER (PARTITION BY card ORDER BY us, txn_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM m"),
     "similar_cases": q(CASES, "s0 AS (SELECT card, case_id, opened_us, min(p) AS p FROM (SELECT x.card, case_id, opened_us, 1 AS p FROM (SELECT DISTINCT card, customer FROM t) x JOIN c USING (customer) UNION ALL SELECT x.card, case_id, opened_us, 2 FROM (SELECT DISTINCT card, device FROM t) x JOIN c USING (device)) GROUP BY ALL)", "s1 AS (SELECT *, (row_number() OVER (PARTITION BY card ORDER BY p, opened_us, case_id))::INTEGER AS rank FROM s0)", "SELECT card, case_id, CASE p WHEN 1 THEN 'same_customer' ELSE 'shared_device' END AS basis, rank FROM s1 WHERE rank <= 5"),
-    "pattern_match": q(PATTERN, "SELECT txn_id, card_testing, card_not_present_fraud, card_not_present_new_device, out_of_region_use, account_takeover, best, confidence FROM pm"),
+    "pattern_match": q(PATTERN, "SELECT * FROM pm"),
     "case_history": q(CASES, "SELECT card, count(*) AS total, count(*) FILTER (outcome = 'confirmed_fraud') AS confirmed, count(*) FILTER (outcome = 'cleared') AS cleared, round(sum(exposure), 2) AS exposure FROM c GROUP BY card"),
     "case_subgraph": q(CASES, "rt AS (SELECT card, txn_id AS x FROM (SELECT *, row_number() OVER (PARTITION BY card ORDER BY us DESC, txn_id DESC) AS r FROM t) WHERE r <= 5)", "pe AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS r FROM (SELECT c.case_id, c.device, x.card AS peer FROM c JOIN (SELECT DISTINCT card, device FROM t) x ON c.device = x.device AND x.card <> c.card))", "SELECT case_id, case_id AS src, 'INVESTIGATES' AS kind, card::VARCHAR AS dst FROM c UNION ALL SELECT case_id, customer::VARCHAR, 'OWNS', card::VARCHAR FROM c UNION ALL SELECT case_id, card::VARCHAR, 'USED', device FROM c UNION ALL SELECT case_id, card::VARCHAR, 'MADE', x::VARCHAR FROM c JOIN rt USING (card) UNION ALL SELECT case_id, peer::VARCHAR, 'SHARES', device FROM pe WHERE r <= 2"),
     "ego_net": q(EDGES, "h0 AS (SELECT DISTINCT src AS seed, src AS node FROM e WHERE src LIKE 'c%')", "h1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN e ON node = src)", "h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON node = src)", "SELECT seed, node, min(hop)::INTEGER AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY seed, node"),
@@ -152,14 +156,25 @@ ORACLE_SQL: dict[str, str] = {
     "temporal_chain": q(CHAIN, "SELECT * FROM ch"),
     "sharing_triangle": q(devices(15), "vi AS (SELECT DISTINCT card, merchant FROM t)", "pp AS (SELECT DISTINCT a.card AS a, b.card AS b FROM d a JOIN d b ON a.device = b.device AND a.card < b.card)", "SELECT a, b, count(*) AS n_merchants FROM pp JOIN vi x ON x.card = a JOIN vi y ON y.card = b AND y.merchant = x.merchant GROUP BY a, b"),
     "motif_score": q(FAN, CHAIN, MESH, devices(15), "me AS (SELECT a.card AS a, b.card AS b FROM ac a JOIN ac b ON a.customer = b.customer AND a.merchant = b.merchant AND a.card < b.card GROUP BY a.card, b.card HAVING count(DISTINCT a.merchant) >= 2)", "mc AS (SELECT card, count(*) AS n FROM (SELECT unnest([a, b]) AS card FROM me) GROUP BY card)", "vi AS (SELECT DISTINCT card, merchant FROM t)", "pp AS (SELECT DISTINCT a.card AS a, b.card AS b FROM d a JOIN d b ON a.device = b.device AND a.card < b.card)", "tr AS (SELECT DISTINCT a, b FROM pp JOIN vi x ON x.card = a JOIN vi y ON y.card = b AND y.merchant = x.merchant)", "tc AS (SELECT card, count(*) AS n FROM (SELECT unnest([a, b]) AS card FROM tr) GROUP BY card)", "mo AS (SELECT card, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM fo WHERE fo.card = x.card)) AS p1, least(0.5::DOUBLE, 0.25::DOUBLE * (SELECT count(DISTINCT merchant) FROM t WHERE t.card = x.card AND merchant IN (SELECT merchant FROM fi))) AS p2, least(0.4::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM ch WHERE ch.card = x.card)) AS p4, least(0.6::DOUBLE, 0.3::DOUBLE * coalesce((SELECT n FROM mc WHERE mc.card = x.card), 0)) AS p3, least(0.5::DOUBLE, 0.25::DOUBLE * coalesce((SELECT n FROM tc WHERE tc.card = x.card), 0)) AS p5 FROM (SELECT DISTINCT card FROM t) x)", "ms AS (SELECT *, round(least(1.0::DOUBLE, p1 + p2 + p3 + p4 + p5), 4) AS score, greatest(p1, p2, p3, p4, p5) AS b FROM mo)", "SELECT card, score, CASE WHEN score >= 0.7 THEN 'CRITICAL' WHEN score >= 0.4 THEN 'HIGH' WHEN score >= 0.2 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS level, CASE WHEN b > 0 THEN CASE b WHEN p1 THEN 'fan_out' WHEN p2 THEN 'fan_in' WHEN p3 THEN 'bipartite_mesh' WHEN p4 THEN 'temporal_chain' ELSE 'sharing_triangle' END END AS dominant FROM ms"),
-    "burst_cluster": q(f"b AS (SELECT x.txn_id, x.device, count(*) AS n, count(DISTINCT y.card) AS n_cards, round(sum(y.amount), 2) AS exposure, (count(*) FILTER (y.amount <= 5))::DOUBLE / count(*) AS m FROM t x JOIN t y ON x.device = y.device AND y.us BETWEEN x.us - {D} AND x.us GROUP BY x.txn_id, x.device)", "b2 AS (SELECT *, (n_cards >= 2 AND n >= 3) OR (n >= 4 AND m >= 0.5) AS is_burst FROM b)", "SELECT txn_id, device, n, n_cards, exposure, round(m, 4) AS micro, is_burst, CASE WHEN is_burst THEN round(least(0.98::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n_cards + 0.1::DOUBLE * m), 4) ELSE 0 END::DOUBLE AS confidence FROM b2"),
-    "undocumented": q("u AS (SELECT device, count(DISTINCT card) AS n, count(DISTINCT customer) AS m, count(*) FILTER (proxy) AS p FROM t GROUP BY device)", "SELECT device, CASE WHEN n >= 2 AND p > 0 THEN 'A_PROXY_RING' ELSE 'B_DEVICE_FARM' END AS signature, round(CASE WHEN n >= 2 AND p > 0 THEN least(0.95::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n) ELSE least(0.92::DOUBLE, 0.65::DOUBLE + 0.05::DOUBLE * n) END, 4) AS confidence FROM u WHERE (n >= 2 AND p > 0) OR (n >= 3 AND m >= 3)"),
+    "burst_cluster": q(
+        f"b0 AS (SELECT x.txn_id, x.device, y.card, y.customer, y.amount, (y.us - lag(y.us) OVER (PARTITION BY x.txn_id ORDER BY y.us, y.txn_id)) / 1e6::DOUBLE AS gap FROM t x JOIN t y ON x.device = y.device AND y.us BETWEEN x.us - {D} AND x.us)",
+        "b AS (SELECT txn_id, device, count(*) AS n, count(DISTINCT card) AS n_cards, count(DISTINCT customer) AS n_customers, round(sum(amount), 2) AS exposure, (count(*) FILTER (amount <= 5))::DOUBLE / count(*) AS m, round(coalesce(avg(gap), 0), 3)::DOUBLE AS mean_gap, round(coalesce(stddev_pop(gap), 0), 3)::DOUBLE AS std_gap FROM b0 GROUP BY txn_id, device)",
+        "b2 AS (SELECT *, n >= 3 AND std_gap > 0 AND std_gap <= 120 AS is_bot, (n_cards >= 2 AND n >= 3) OR (n >= 4 AND m >= 0.5) AS is_burst FROM b)",
+        "SELECT txn_id, device, n, n_cards, n_customers, exposure, round(m, 4) AS micro, mean_gap, std_gap, is_bot, is_burst, CASE WHEN is_burst THEN round(least(0.98::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n_cards + 0.1::DOUBLE * m), 4) ELSE 0 END::DOUBLE AS confidence FROM b2",
+    ),
+    "undocumented": q(
+        VELOCITY, GEO,
+        "sh AS (SELECT x.txn_id, x.device, x.proxy, count(DISTINCT y.card) AS n, count(DISTINCT y.customer) AS m FROM t x JOIN t y ON x.device = y.device AND y.us <= x.us GROUP BY x.txn_id, x.device, x.proxy)",
+        "ho AS (SELECT t.txn_id, count(g.us) AS hops FROM t LEFT JOIN (SELECT g0.card, g0.us FROM g0 JOIN geo USING (txn_id)) g ON g.card = t.card AND g.us <= t.us GROUP BY t.txn_id)",
+        "al AS (SELECT sh.*, hops, round(n_1h / (n_7d / 168.0::DOUBLE + 0.05::DOUBLE), 2) >= 3 AS spiked FROM sh JOIN ho USING (txn_id) JOIN vs USING (txn_id))",
+        "SELECT txn_id, device, CASE WHEN n >= 2 AND proxy THEN 'proxy_rotation_syndicate' WHEN n >= 3 AND m >= 3 THEN 'device_pooling_nexus' WHEN n >= 2 AND spiked THEN 'coordinated_burst_nexus' ELSE 'impossible_geo_dispersion' END AS signature, round(CASE WHEN n >= 2 AND proxy THEN least(0.95::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * n) WHEN n >= 3 AND m >= 3 THEN least(0.92::DOUBLE, 0.65::DOUBLE + 0.05::DOUBLE * n) WHEN n >= 2 AND spiked THEN 0.85 ELSE 0.8 END::DOUBLE, 2) AS confidence FROM al WHERE (n >= 2 AND proxy) OR (n >= 3 AND m >= 3) OR (n >= 2 AND spiked) OR hops >= 2",
+    ),
     "edge_decay": q(f"SELECT txn_id, {WEIGHT}::DOUBLE AS weight FROM t"),
     "prune_edges": q(f"w AS (SELECT *, {WEIGHT}::DOUBLE AS weight FROM t)", f"r AS (SELECT *, (row_number() OVER (PARTITION BY card ORDER BY is_fraud DESC, weight DESC, txn_id))::INTEGER AS rank FROM w WHERE us <= {AT} AND (is_fraud OR weight >= 0.05))", "SELECT card, txn_id, is_fraud, weight, rank FROM r WHERE rank <= 50"),
     "prune_stats": q(f"w AS (SELECT *, {WEIGHT}::DOUBLE AS weight FROM t)", f"k AS (SELECT card, least(10, count(*)) AS kept FROM w WHERE us <= {AT} AND (is_fraud OR weight >= 0.05) GROUP BY card)", f"SELECT card, count(*) AS edges, coalesce(any_value(kept), 0) AS kept, round(coalesce(any_value(kept), 0) / count(*)::DOUBLE, 4) AS ratio FROM t LEFT JOIN k USING (card) WHERE us <= {AT} GROUP BY card"),
     "playback": q("x AS (SELECT *, row_number() OVER (PARTITION BY card, device ORDER BY us, txn_id) = 1 AS nd, row_number() OVER w AS frame, sum(amount) OVER w AS ex FROM t WINDOW w AS (PARTITION BY card ORDER BY us, txn_id))", "y AS (SELECT *, sum(nd::BIGINT) OVER (PARTITION BY card ORDER BY us, txn_id ROWS UNBOUNDED PRECEDING) AS dv, min(frame) FILTER (ex >= 1000) OVER (PARTITION BY card) AS fb FROM x)", "SELECT txn_id, card, frame::INTEGER AS frame, round(ex, 4) AS exposure, dv::BIGINT AS devices, frame = fb AS breach, frame >= 3 AS third_or_later FROM y"),
     "syndicate_merchants": q("s AS (SELECT customer, merchant, count(*) AS n, round(sum(amount), 2) AS exposure, count(DISTINCT card) AS n_cards, round(avg(risk), 6) AS mean_risk, count(DISTINCT channel) AS n_channels FROM t GROUP BY customer, merchant)", "SELECT *, round(least(0.99::DOUBLE, CASE WHEN n_cards >= 3 THEN 0.5 ELSE 0.3 END + CASE WHEN exposure >= 5000 THEN 0.35 WHEN exposure >= 1000 THEN 0.2 ELSE 0 END + CASE WHEN mean_risk >= 0.5 THEN 0.15 ELSE 0 END), 4)::DOUBLE AS score FROM s WHERE n_cards >= 2"),
-    "card_syndicates": q(devices(60), LINKS, "vi AS (SELECT DISTINCT card, merchant FROM t)", "SELECT seed, count(DISTINCT x.merchant) AS n_merchants, count(DISTINCT other) AS n_peers, least(0.99::DOUBLE, round(0.3::DOUBLE * count(DISTINCT x.merchant), 4)) AS score FROM li JOIN vi x ON x.card = seed JOIN vi y ON y.card = other AND y.merchant = x.merchant GROUP BY seed"),
+    "card_syndicates": q(LINKS, "vi AS (SELECT DISTINCT card, merchant FROM t)", "SELECT seed, count(DISTINCT x.merchant) AS n_merchants, count(DISTINCT other) AS n_peers, least(0.99::DOUBLE, round(0.3::DOUBLE * count(DISTINCT x.merchant), 4)) AS score FROM li JOIN vi x ON x.card = seed JOIN vi y ON y.card = other AND y.merchant = x.merchant GROUP BY seed"),
     "nexus": q(CASES, "SELECT 'NX-' || substr(md5(device), 1, 8) AS nexus_id, device, count(DISTINCT card) AS n_cards, count(*) AS n_cases, round(sum(exposure), 2) AS exposure, array_to_string(list_sort(list(DISTINCT case_id)), ',') AS cases, CASE WHEN round(sum(exposure), 2) >= 10000 THEN 'CRITICAL' WHEN round(sum(exposure), 2) >= 2500 THEN 'HIGH' ELSE 'MEDIUM' END AS threat FROM c WHERE outcome = 'confirmed_fraud' GROUP BY device HAVING count(DISTINCT card) >= 2"),
     "cross_case_links": q(CASES, "SELECT a.case_id AS a_case, b.case_id AS b_case, a.device FROM c a JOIN c b ON a.device = b.device AND a.case_id < b.case_id AND a.card <> b.card WHERE a.outcome = 'confirmed_fraud' AND b.outcome = 'confirmed_fraud'"),
     "shared_infrastructure": q("x AS (SELECT DISTINCT customer, device FROM t)", "y AS (SELECT DISTINCT customer, merchant FROM t)", "SELECT a, b, sum(w)::DOUBLE AS weight FROM (SELECT l.customer AS a, r.customer AS b, 2.0 * count(*) AS w FROM x l JOIN x r ON l.device = r.device AND l.customer < r.customer GROUP BY ALL UNION ALL SELECT l.customer, r.customer, 1.0 * count(*) FROM y l JOIN y r ON l.merchant = r.merchant AND l.customer < r.customer GROUP BY ALL) GROUP BY a, b"),

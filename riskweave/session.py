@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,3 +24,16 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def checkpointed(spark: SparkSession) -> SparkSession:
+    """The session with a checkpoint folder: that of ``spark.checkpoint.dir``; only where none is set and all runs on
+    one machine, as in tests, a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="riskweave-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark

@@ -65,8 +65,60 @@ def test_card_testing_confidence(spark):
 
 def test_hub_cap_leaves_generic_devices_out(spark):
     t = txns(spark, [(i, i, i, "click", 1, 1) for i in range(16)])
-    assert links.identity_links(t, 15).count() == 0
-    assert links.identity_links(t, 16).count() == 16 * 15
+    assert links.card_devices(t, 15).count() == 0
+    assert links.card_devices(t, 16).count() == 16
+
+
+def test_identity_links_of_devices_of_any_size(spark):
+    rows = [(100 * k + i, i, i, "click", 1, k) for k, cards in enumerate((range(80), range(0, 80, 3), range(70, 90))) for i in cards]
+    t = txns(spark, rows)
+    pairs = {(r["card"], r["device"]) for r in links.card_devices(t).collect()}
+    want = {}
+    for a, d in pairs:
+        for b, e in pairs:
+            if d == e and a != b:
+                want[a, b] = want.get((a, b), 0) + 1
+    first = {a: sorted(b for x, b in want if x == a)[:15] for a, _ in want}
+    got = {(r["seed"], r["other"]): r["n_devices"] for r in links.identity_links(t).collect()}
+    assert got == {k: n for k, n in want.items() if k[1] in first[k[0]]}
+
+
+def test_pattern_matches_apart_from_confidences(spark):
+    rows = [(i, i * 200_000, 1, "click", 10, 1) for i in range(1, 6)] + [(9, 1_800_000, 1, "click", 50, 1)]
+    got = {r["txn_id"]: r for r in patterns.pattern_match(txns(spark, rows)).collect()}
+    assert got[9]["card_not_present_fraud"] == 0.5 and got[9]["card_not_present_fraud_match"] and not got[4]["card_not_present_fraud_match"]
+    # small amounts over an hour before don't count
+    rows = [(i, i * 60, 1, "click", 1, 1) for i in range(1, 4)] + [(9, 9_000, 1, "click", 50, 1)]
+    assert {r["txn_id"]: r["card_testing"] for r in patterns.pattern_match(txns(spark, rows)).collect()}[9] == 0.0
+
+
+def test_bursts_of_bots_and_of_cards(spark):
+    rows = [(i, t, 1, "click", 50, 1) for i, t in enumerate((0, 60, 125, 180))] + [(10 + i, 10_000 * i, 2 + i, "click", 50, 2) for i in range(3)]
+    got = {r["txn_id"]: r for r in patterns.burst_cluster(txns(spark, rows)).collect()}
+    assert got[3]["is_bot"] and not got[1]["is_bot"] and got[3]["mean_gap"] == 60.0 and not got[3]["is_burst"]
+    assert got[12]["is_burst"] and got[12]["n_customers"] == 3 and got[12]["std_gap"] == 0.0 and not got[12]["is_bot"]
+
+
+def test_absent_values_are_no_new_region_or_email(spark):
+    t = txns(spark, [(1, 0, 1, "click", 1, 1), (2, 60, 1, "click", 1, 2)])
+    t = t.withColumn("region", F.when(F.col("txn_id") == 1, F.col("region"))).withColumn("email", F.lit("")).withColumn("device", F.lit(None).cast("string"))
+    got = {r["txn_id"]: r for r in profile.new_entity_check(t).collect()}
+    assert got[1]["new_region"] and not got[2]["new_region"] and not got[1]["new_email"] and got[1]["new_device"] and got[2]["new_device"]
+    assert patterns.burst_cluster(t).orderBy("txn_id").collect()[1]["n"] == 2
+
+
+def test_undocumented_signatures_of_movement(spark):
+    # regions 1, 2, 3 in person within minutes, each on a device of its own
+    got = {r["txn_id"]: (r["signature"], r["confidence"]) for r in patterns.undocumented(txns(spark, [(i, 600 * i, 1, "login", 1, i) for i in (1, 2, 3)])).collect()}
+    assert got == {3: ("impossible_geo_dispersion", 0.8)}
+
+
+def test_components_of_a_long_path(spark):
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")]
+    e = spark.createDataFrame(path + [(b, a) for a, b in path], "src string, dst string")
+    got = {r["id"]: r["component"] for r in graphs.components(e).collect()}
+    assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and got["y"] == "x"
+    assert graphs.components(e.limit(0)).count() == 0
 
 
 def test_ring_needs_a_precedent(spark):
