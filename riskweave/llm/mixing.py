@@ -94,9 +94,15 @@ def plan(rows: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, fraction
     shift = HASH_BITS - (RANGES.bit_length() - 1)
     placed = rows.join(target.where("rest > 0"), LEVELS).withColumn("h", order_hash(seed, F.col("whole"), F.col("id"))).withColumn("range", F.shiftright("h", shift))
     sums = placed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy(*LEVELS).orderBy("range")
-    sums = sums.withColumn("end", F.sum("n").over(upto)).withColumn("begin", F.col("end") - F.col("n"))
-    last = sums.where("begin <= rest and end > rest").select(*LEVELS, "range", "begin")
+    # first among groups of ranges, then among the ranges of one: a leaf's windows have the square root of RANGES rows
+    group = F.shiftright("range", (RANGES.bit_length() - 1) // 2)
+    sums = sums.withColumn("group", group)
+    groups = sums.groupBy(*LEVELS, "group").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
+    end = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("group"))
+    ending = groups.withColumn("end", end).withColumn("base", F.col("end") - F.col("n")).where("base <= rest and end > rest").select(*LEVELS, "group", "base")
+    end = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
+    inner = sums.join(ending, [*LEVELS, "group"]).withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
+    last = inner.where("begin <= rest and end > rest").select(*LEVELS, "range", "begin")
     inner = placed.join(last, [*LEVELS, "range"]).withColumn("end", F.col("begin") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("h", "id")))
     inside = inner.where("end <= rest").groupBy(*LEVELS).agg(F.max(F.struct("h", "id")).alias("cut"))
     # a prefix that ends before its range's first document still holds the ranges before it
