@@ -96,6 +96,45 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packed:
     return list(done.items())
 
 
+def _pairs(count: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths that remain and fit the gap, the longest second piece beside each (0: none), and what both fill."""
+    sizes = np.nonzero(count[: gap + 1] > 0)[0]
+    below = np.zeros(gap + 1, np.int64)
+    below[sizes] = sizes
+    np.maximum.accumulate(below, out=below)
+    second = below[gap - sizes]
+    twice = (second == sizes) & (count[sizes] < 2)
+    second[twice] = below[np.maximum(sizes[twice] - 1, 0)]
+    return sizes, second, np.where(second > 0, sizes + second, 0)
+
+
+def _longest(count: np.ndarray, gap: int) -> tuple[int, ...]:
+    """The filling that ``fillings`` puts first for one try per step. A loop, as very short pieces make thousands of steps."""
+    rest, steps, out = count.copy(), [], ()
+    while gap > 0:
+        if gap < len(rest) and rest[gap] > 0:
+            out = (gap,)
+            break
+        sizes, second, pair = _pairs(rest, gap)
+        if not sizes.size:
+            break
+        top, best = int(sizes[-1]), int(pair.max())
+        base = (top,)
+        if best > top:
+            i = np.nonzero(pair >= best - (best < gap) * 2)[0][-1]
+            if pair[i] > top:
+                base = tuple(sorted((int(sizes[i]), int(second[i])), reverse=True))
+        if best >= gap:
+            out = base
+            break
+        steps.append((top, best, base))
+        rest[top] -= 1
+        gap -= top
+    for top, best, base in reversed(steps):
+        out = (top, *out) if top + sum(out) > best else base
+    return out
+
+
 def fillings(count: np.ndarray, gap: int, width: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated fillings of ``gap`` from the lengths that remain, least waste first, ``width`` of them at most.
 
@@ -106,17 +145,10 @@ def fillings(count: np.ndarray, gap: int, width: int = WIDTH) -> list[tuple[int,
         return [()]
     if gap < len(count) and count[gap] > 0:
         return [(gap,)]
-    sizes = np.nonzero(count[: gap + 1] > 0)[0]
+    sizes, second, pair = _pairs(count, gap)
     if not sizes.size:
         return [()]
     found: dict[tuple[int, ...], int] = {(int(sizes[-1]),): int(sizes[-1])}
-    below = np.zeros(gap + 1, np.int64)
-    below[sizes] = sizes
-    np.maximum.accumulate(below, out=below)
-    second = below[gap - sizes]
-    twice = (second == sizes) & (count[sizes] < 2)
-    second[twice] = below[np.maximum(sizes[twice] - 1, 0)]
-    pair = np.where(second > 0, sizes + second, 0)
     best = int(pair.max())
     if best > sizes[-1]:
         for a in sizes[pair >= best - (best < gap) * 2][::-1][:width]:
@@ -126,10 +158,9 @@ def fillings(count: np.ndarray, gap: int, width: int = WIDTH) -> list[tuple[int,
         for a in sizes[::-1][:width]:
             rest = count.copy()
             rest[a] -= 1
-            for more in fillings(rest, gap - int(a), 1):
-                whole = tuple(sorted((int(a), *more), reverse=True))
-                if sum(whole) > best:
-                    found[whole] = sum(whole)
+            whole = tuple(sorted((int(a), *_longest(rest, gap - int(a))), reverse=True))
+            if sum(whole) > best:
+                found[whole] = sum(whole)
     return [f for f, _ in sorted(found.items(), key=lambda x: (-x[1], tuple(-y for y in x[0])))][:width]
 
 

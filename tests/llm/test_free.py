@@ -179,6 +179,13 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(n for _, n in packed) <= optimum(sizes, 100) + (1 if 0 else 0)
 
 
+def test_search_over_very_short_pieces_has_no_depth_limit():
+    # best fit misses the bound by two, and a sequence holds 1,365 pieces
+    packed = packing.solve({3: 10_000_000})
+    assert sum(n for _, n in packed) == -(-10_000_000 // 1365)
+    assert sum(len(bin_) * n for bin_, n in packed) == 10_000_000
+
+
 def test_equal_lengths_fill_sequences(spark):
     parts = spark.range(1000).select("id", F.lit(0).alias("piece"), F.lit(30).cast("long").alias("length"))
     rows = [(r["sequence_id"], r["offset"], r["length"]) for r in packing.assign(shared.stage(parts, "t"), 100).collect()]
