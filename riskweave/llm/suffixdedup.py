@@ -282,6 +282,8 @@ def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     is one row per task."""
     sent: dict[bytes, int] = {}
     least: dict[bytes, int] = {}
+    # one schema for all: the input's says that its columns have no nulls
+    batch = lambda *columns: pa.RecordBatch.from_arrays(list(columns), ["id", "sha", "text"])
     for b in slices(batches, "text"):
         keep, shas = [], b.column(1).to_pylist()
         for i, (doc, sha) in enumerate(zip(b.column(0).to_pylist(), shas)):
@@ -291,10 +293,9 @@ def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             elif doc < sent[sha]:
                 least[sha] = min(doc, least.get(sha, doc))
         if keep:
-            yield b.take(pa.array(keep, pa.int64()))
+            yield batch(*b.take(pa.array(keep, pa.int64())).columns)
     if least:
-        names = ["id", "sha", "text"]
-        yield pa.RecordBatch.from_arrays([pa.array(least.values(), pa.int64()), pa.array(least.keys(), pa.binary()), pa.array([None] * len(least), pa.binary())], names)
+        yield batch(pa.array(list(least.values()), pa.int64()), pa.array(list(least), b.schema.field(1).type), pa.nulls(len(least), b.schema.field(2).type))
 
 
 def _to_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,3 +129,14 @@ def test_stages_leave_clashing_columns_alone(spark):
         rows = sorted(got.collect(), key=lambda r: r["doc_id"])
         assert got.columns == df.columns and [r["doc_id"] for r in rows] == want, f
         assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+
+
+def test_suffix_dedup_takes_copies_of_falling_ids_in_one_task(spark):
+    from riskweave.llm import suffixdedup
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(9, text), (7, "short"), (5, text), (3, text), (1, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids, results = suffixdedup.removals(docs)
+    assert ids.count() == 5
+    assert sorted((r["id"], r["n_removed"]) for r in results.collect()) == [(1, 0), (3, 0)]
