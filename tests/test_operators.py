@@ -308,3 +308,12 @@ def test_mesh_joins_a_pair_of_cards_once(spark):
     mesh = patterns.bipartite_mesh(spark.createDataFrame(rows, "customer long, card long, merchant string"))
     assert {tuple(r) for r in mesh.collect()} == {(a, b, 90 - 10 * b) for b in range(6) for a in range(b)} | {(8, 9, 2)}
     assert largest_join(mesh) <= 20
+
+
+def test_link_parts_counts_whole_transpositions_and_no_null_blocks(spark):
+    from riskweave.operators import linkage
+
+    assert jaro("old plate", "large gear") == pytest.approx(0.53148, abs=1e-5)  # three out of order: one transposition
+    rows = [(1, "a", "b", "t", 1), (2, "a", "b", "t", 1), (3, "a", None, "t", 1), (4, "a", None, "t", 1), (5, "a", "b", "t", None), (6, "a", "b", "t", None)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    assert [tuple(r)[:2] for r in linkage.link_parts(part).collect()] == [(1, 2)]
