@@ -326,3 +326,13 @@ def test_index_of_asked_terms_has_all_their_postings(spark):
     for a, b in zip(whole, some):
         want = {tuple(r[c] for c in sorted(r.asDict())) for r in a.where("term in ('red', 'blue')").collect()}
         assert want == {tuple(r[c] for c in sorted(r.asDict())) for r in b.collect()} and want
+
+
+def test_motif_score_joins_a_pair_of_cards_once(spark):
+    from compare import largest_join
+
+    # ten cards of one customer, each twice at five merchants on a device of its own
+    t = txns(spark, [(20 * c + 4 * m + i, 86400 * m + 9000 * i, 50 * c, "click", 1, 10 * c + m) for c in range(10) for m in range(5) for i in range(2)])
+    score = patterns.motif_score(t)
+    assert score.count() == 10
+    assert largest_join(score) <= 90
