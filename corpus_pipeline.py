@@ -24,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near duplicates (SimHash fingerprints within 5 bits, similarity 0.8) stays."""
     return simhash.one_of_each(docs)
 
 

@@ -6,7 +6,9 @@ fingerprint enters a table under each of its segments, each fingerprint looks up
 its own segments there, and matches are kept by their complete distance. Copies of a fingerprint are aggregated first:
 links are only ever made between different fingerprints.
 
-The pipeline's ``similar`` compares whole shingle sets instead; its candidates come from exact prefix filtering.
+The pipeline's ``near_classes`` does so with fingerprints of different shingles and compares linked texts whole.
+``similar`` finds all texts of a similarity without fingerprints, by exact prefix filtering; its joins grow with the
+square of the texts that share a shingle.
 """
 
 from __future__ import annotations
@@ -286,11 +288,59 @@ def _classes(docs: DataFrame, size: int, similarity: float, id_col: str, text_co
     return out
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their class (smallest id; of rows with that
-    id all stay); rows without an id stay."""
-    classes = similar(docs, size, similarity, id_col=id_col, text_col=text_col)
-    others = stage(classes.where("id <> component").select("id").distinct(), "similar-others")
+def _prints(docs: DataFrame, size: int, shingles: int | None = None) -> DataFrame:
+    """(id, fp: fingerprint of the different ``size``-word shingles) of ``docs`` (id, text), so that a line that a text
+    repeats weighs no more than another; with ``shingles`` also grams, the set of that many words' shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = b.column(1).to_pylist()
+            columns = [b.column(0), pa.array([majority(_grams(x, size)) for x in texts], pa.int64())]
+            if shingles:
+                columns.append(pa.array([_grams(x, shingles).view(np.int64) for x in texts], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "grams"][: len(columns)])
+
+    return docs.mapInArrow(run, "id long, fp long" + ", grams array<long>" * bool(shingles))
+
+
+def near_classes(docs: DataFrame, size: int = 3, distance: int = 5, segments: int = 3, shingles: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): classes of texts whose fingerprints differ in at most ``distance`` bits and whose sets of
+    ``shingles``-word shingles have at least that Jaccard similarity.
+
+    The fingerprints are those of different shingles; the first text of each stands for all of its texts. All pairs
+    within the distance are found (see ``links``) and compared whole, so texts that only have near fingerprints are left
+    alone. Null ids have no class; the rows of an id have their own text's class. A null text counts as empty, texts
+    without words are one class, an empty table gives an empty result. The result is staged; what it is made of is
+    dropped.
+    """
+    with clean_shuffles(docs.sparkSession):
+        plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+        prints = stage(_prints(plain, size), "near")
+        nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("node")), "near-nodes")
+        # a pair is found by each segment in which it is near
+        pairs = stage(links(nodes.select("fp"), distance, segments).distinct(), "near-links")
+        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("node").alias("id")), "near-asked")
+        texts = plain.join(asked.select("id").distinct(), "id", "left_semi").select("id", "text")
+        grams = stage(_prints(texts, size, shingles).join(asked, ["id", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "grams"), "near-grams")
+        l, r = (grams.select(F.col("fp").alias(x), F.col("grams").alias(y)) for x, y in (("a", "l"), ("b", "r")))
+        common = F.size(F.array_intersect("l", "r"))
+        alike = pairs.join(r, "b").join(l, "a").where(common >= similarity * (F.size("l") + F.size("r") - common) - 1e-9)
+        alike = stage(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-alike")
+        drop(pairs, asked, grams)
+        by_fp = connected(alike)
+        grouped = nodes.join(by_fp, nodes.fp == by_fp.id, "left").select("fp", "node", F.coalesce("component", "fp").alias("group"))
+        least = grouped.groupBy("group").agg(F.min("node").alias("component"))
+        labels = grouped.join(least, "group").select("fp", "component")
+        out = stage(prints.join(labels, "fp").select("id", "component"), "near-classes")
+        drop(prints, nodes, alike)
+    return out
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their class of near duplicates (smallest id;
+    of rows with that id all stay); rows without an id stay."""
+    classes = near_classes(docs, id_col=id_col, text_col=text_col)
+    others = stage(classes.where("id <> component").select("id").distinct(), "near-others")
     drop(classes)
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     own = F.col(names[docs.columns.index(id_col)]).cast("long")

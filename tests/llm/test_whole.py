@@ -140,3 +140,35 @@ def test_suffix_dedup_takes_copies_of_falling_ids_in_one_task(spark):
     ids, results = suffixdedup.removals(docs)
     assert ids.count() == 5
     assert sorted((r["id"], r["n_removed"]) for r in results.collect()) == [(1, 0), (3, 0)]
+
+
+def test_pipeline_links_near_copies_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 20000, n)]
+    line = ["this", "is", "the", "line", "of", "nine", "words", "repeated", "often"]
+    texts = []
+    for _ in range(12):  # texts, each with copies of which some words are changed
+        a = draw(200)
+        texts.append(a)
+        for _ in range(6):
+            b = a[:]
+            for i in rng.choice(200, int(rng.integers(1, 5)), replace=False):
+                b[i] = "changed"
+            texts.append(b)
+    texts += [line * 60 + draw(100) for _ in range(5)]  # a line in common, but not near copies
+    texts = [" ".join(x) for x in texts]
+    prints = [simhash.majority(np.unique(simhash.shingle_hashes(simhash.words_of(x), 3))) for x in texts]
+    of = list(range(len(texts)))  # brute force: fingerprints within 5 bits, and alike
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 5 and jaccard(texts[i], texts[j]) >= 0.8:
+                of = [min(of[i], of[j]) if c in (of[i], of[j]) else c for c in of]
+    calls, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: calls.append(a) or links(*a))
+    docs = documents(spark, texts, False)
+    assert {r["id"]: r["component"] for r in simhash.near_classes(docs).collect()} == dict(enumerate(of))
+    assert 17 <= len(set(of)) < 45 and all(of[i] == i for i in range(84, 89))
+    kept = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(of)) and len(calls) == 2
