@@ -370,3 +370,31 @@ def test_motif_score_gathers_merchants_once(spark):
     plan = patterns.motif_score(t)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [card#" in plan and "[card, merchant]" not in plan
     assert not any("Aggregate [card#" in line and ", merchant#" in line.split("]")[0] for line in plan.splitlines())
+
+
+def test_cardholder_sybils_counts_each_card_and_device_once_without_rows_for_them(spark, monkeypatch):
+    from compare import largest_join
+    from riskweave.operators import linkage
+
+    random = __import__("random").Random(7)
+    day = 86400
+    # devices of one k are alike; some have one card only, and some cards lead to no other
+    rows = [(i, random.randrange(9) * day, random.randrange(40), "click", 1, random.choice([10, 11, 11, 12])) for i in range(150)] + [(900, 0, 77, "click", 1, 99), (901, day, 77, "click", 1, 99), (902, 0, 78, "click", 1, 98)]
+    t = txns(spark, rows).withColumn("card", F.expr("nullif(card, 3)")).cache()
+    uses = {(r["card"], r["device"]) for r in t.select("card", "device").collect() if r["card"] is not None}
+    like = {(a, b) for _, a in uses for _, b in uses if a != b and a.split("|")[0] == b.split("|")[0] and winkler(a, b) >= 0.9}
+    want = {}
+    for c in {c for c, _ in uses}:
+        links = {(b, o) for x, d in uses if x == c for a, b in like if a == d for o, y in uses if y == b and o != c}
+        if links:
+            want[c] = (len({b for b, _ in links}), len({o for _, o in links}))
+    assert want and 77 not in want and any(c == o for c, d in uses for a, b in like if a == d for o, y in uses if y == b)
+    for uses_a_lane, bit_bytes in ((linkage.LANE_USES, linkage.BIT_BYTES), (20, 64)):
+        monkeypatch.setattr(linkage, "LANE_USES", uses_a_lane)
+        monkeypatch.setattr(linkage, "BIT_BYTES", bit_bytes)
+        out = linkage.cardholder_sybils(t, 0.9)
+        assert {r["card"]: (r["n_links"], r["n_cards"]) for r in out.collect()} == want
+        assert all(r["risk"] == round(min(1.0, 0.35 * r["n_links"] + 0.2 * r["n_cards"]), 4) for r in out.collect())
+    # joins make pairs of devices and of lanes, no row per card and card that it leads to
+    assert largest_join(out) <= 400 < sum(n for _, n in want.values())
+    assert linkage.cardholder_sybils(t.limit(0)).count() == 0
