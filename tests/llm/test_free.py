@@ -304,6 +304,30 @@ def test_wrapper_without_an_article_tag():
     assert htmlextract.extract(pages[1], w) == "Story 1 " + " ".join(["words"] * 21) + " End 7"
 
 
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    frame = PAGE.format('<div class="frame"><div class="box"><h2>Share this page</h2>{}<h3>Read more</h3></div></div>')
+
+    def site(host, n, body):
+        return [(i, f"https://{host}/{i}", frame.format(body(i))) for i in range(n)]
+
+    story = lambda i: f"<p>Story {i} {'words ' * (20 + i % 7)}</p>"
+    rows = site("one.example", 200, lambda i: story(i) + "<p>Stays</p>" * (i != 150))  # all but one page have it
+    rows += site("long.example", 5, lambda i: "".join(f"<ul><li>Step {i} {j}</li></ul><p>Word {i} {j}</p>" for j in range(1500)))  # the frame's end is far
+    rows += site("turned.example", 6, lambda i: story(i) + ("<p>First</p><p>Second</p>" if i % 2 else "<p>Second</p><p>First</p>"))
+    rows += site("copies.example", 9, lambda i: story(i % 2)) + site("few.example", 2, story)
+    rows += [(7, "https://one.example/x", None), (8, "https://one.example/y", "<p>Not found</p>"), (9, "https://none.example/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).cache()
+    got = {r["host"]: htmlextract.Wrapper(tuple(r["region"]), frozenset(r["constants"] or ())) for r in htmlextract.wrappers(pages).collect()}
+    for host in got:
+        mine = [h for _, u, h in rows if u.split("/")[2] == host]
+        assert got[host] == htmlextract.infer(mine) and got[host].region[-1] == "div.box"
+    ends = {"Share this page", "Read more"}
+    turned = got.pop("turned.example").constants - ends
+    assert {h: w.constants for h, w in got.items()} == {"one.example": ends, "long.example": ends, "copies.example": set(), "few.example": set()} and len(turned) == 1
+    texts = [r["text"] for r in htmlextract.main_text(pages).where("url like 'https://one%'").collect()]
+    assert sum(t.endswith("words Stays") for t in texts) == 199 and "Not found" in texts
+
+
 @pytest.mark.parametrize("page, want", [(None, ""), ("", ""), ("plain & text", "plain & text"), ("<article><p>cut of", "cut of"), ("<article><p>cut<p", "cut"), ("<article><p>a &am", "a &am"), ("<body><p>x</p><!-- y", "x")])
 def test_odd_pages(page, want):
     assert htmlextract.extract(page, htmlextract.Wrapper()) == want
