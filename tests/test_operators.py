@@ -319,6 +319,41 @@ def test_link_parts_counts_whole_transpositions_and_no_null_blocks(spark):
     assert [tuple(r)[:2] for r in linkage.link_parts(part).collect()] == [(1, 2)]
 
 
+def test_link_parts_links_every_pair_that_meets_the_threshold(spark):
+    from riskweave.operators import linkage
+
+    # pairs of 1: another size, another brand, a name misspelled, another type; 6 and 10 are like none, 7 has no name
+    rows = [(1, "red gear", "b1", "LARGE", 1), (2, "red gear", "b1", "LARGE", 2), (3, "red gear", "b2", "LARGE", 1), (4, "red gaer", "b1", "LARGE", 3), (5, "red gear", "b1", "SMALL", 1)]
+    rows += [(6, "x", "b3", "PROMO", 1), (7, None, "b1", "LARGE", 1), (8, "", " B2", "LARGES", 9), (9, " ", "b2", "large", 9), (10, "hot bolt", "b4", "MEDIUM", 1), (9, "RED gear", "b9", "LARGE", 1)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    a, b = (part.selectExpr(f"p_partkey as p_partkey_{x}", f"p_name as name_{x}", f"p_brand as brand_{x}", f"p_type as type_{x}") for x in "ab")
+    want = linkage.compare(a.join(b, F.col("p_partkey_a") < F.col("p_partkey_b")), linkage.PART_ATTRIBUTES).where("decision <> 'DISTINCT'")
+    got = linkage.link_parts(part)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert {(1, k) for k in (2, 3, 4, 5, 7)} <= {tuple(r)[:2] for r in got.collect()}
+
+
+def test_linked_profiles_are_the_same_sent_in_pieces(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from riskweave.operators import linkage
+
+    rng = random.Random(1)
+    names, keys = ["red gear", "red gaer", "hot bolt", None], iter(range(1000))
+    rows = [{"i": 0, "j": 1, "right": x % 2 == 1, "name": n, "brand": b, "type": t, "keys": [next(keys) for _ in range(rng.randint(1, 5))]} for x, (n, b, t) in enumerate((n, b, t) for n in names for b in "pqr" for t in ("LARGE", "SMALL", "LARGES"))]
+
+    def pairs(rows):
+        out = [(r["total"], a, b) for batch in linkage._likely(iter([pa.RecordBatch.from_pylist(rows)])) for r in batch.to_pylist() for a in r["keys_a"] for b in r["keys_b"] if a < b or b < a and not r["same"]]
+        return sorted(out)
+
+    within = [r | {"j": 0, "right": False} for r in rows]
+    whole = pairs(rows), pairs(within)
+    assert len({p[1:] for p in whole[1]}) == len(whole[1])
+    monkeypatch.setattr(linkage, "SENT_KEYS", 1)
+    assert whole == (pairs(rows), pairs(within)) and len(whole[0]) > 100
+
+
 def test_index_of_asked_terms_has_all_their_postings(spark):
     docs = spark.createDataFrame([(1, "red blue red"), (2, "blue green"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([("red",), ("blue",), ("blue",), ("grey",)], "term string")
